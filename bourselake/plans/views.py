@@ -107,7 +107,53 @@ def with_views(views, sql: str) -> str:
         rest = "\n" + sql
         if not ordered:
             return _expand(sql)
-    if any("RECURSIVE" in VIEWS[v][1] for v in ordered):
+    if any(f"FROM {v} " in VIEWS[v][1] for v in ordered):
         head = "WITH RECURSIVE "
-    ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v][1].strip()})" for v in ordered)
+    ctes = ", ".join(
+        f"{v} AS {'' if f'FROM {v} ' in VIEWS[v][1] else 'MATERIALIZED '}({VIEWS[v][1].strip()})"
+        for v in ordered)
     return _expand(head + ctes + rest)
+
+
+# -- window text ---------------------------------------------------------------------------
+BY = "PARTITION BY symbol ORDER BY date"
+
+
+def tr(n: int, by: str = BY) -> str:
+    return f"({by} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def run(by: str = BY) -> str:
+    return f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def agg(fn: str, x: str, n: int, least: int | None = None, by: str = BY) -> str:
+    w = tr(n, by)
+    return f"(CASE WHEN COUNT({x}) OVER {w} >= {least or n} THEN {fn}({x}) OVER {w} END)"
+
+
+def avg(x: str, n: int, least: int | None = None, by: str = BY) -> str:
+    return agg("AVG", x, n, least, by)
+
+
+def std(x: str, n: int, least: int | None = None, by: str = BY) -> str:
+    return agg("STDDEV_SAMP", x, n, least, by)
+
+
+def lag(x: str, n: int = 1, by: str = BY) -> str:
+    return f"LAG({x}, {n}) OVER ({by})"
+
+
+def ewm_view(name: str, source: str, x: str, alpha: float, keys: str = "symbol",
+             order: str = "date") -> None:
+    """A recursive CTE (keys, rn, order, y) of the exponential mean of `x` in view `source`."""
+    same = " AND ".join(f"s.{k} = e.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"s.{k}" for k in keys.split(", "))
+    add_view(f"{name}_in", source,
+             f"SELECT {keys}, {order}, CAST({x} AS DOUBLE) AS x, ROW_NUMBER() OVER "
+             f"(PARTITION BY {keys} ORDER BY {order}) AS rn FROM {source} WHERE {x} IS NOT NULL")
+    add_view(name, f"{name}_in",
+             f"SELECT {keys}, rn, {order}, x AS y FROM {name}_in WHERE rn = 1 UNION ALL "
+             f"SELECT {cols}, s.rn, s.{order}, CAST({alpha!r} AS DOUBLE) * s.x + "
+             f"CAST({1.0 - alpha!r} AS DOUBLE) * e.y "
+             f"FROM {name} e JOIN {name}_in s ON {same} AND s.rn = e.rn + 1")
