@@ -15,6 +15,7 @@ from bourselake.sources.market import Market
 @dataclass(frozen=True)
 class Registered:
     run: Callable[[Market], DataFrame]
+    views: tuple[str, ...]
     sql: str | None
 
 
@@ -30,7 +31,7 @@ def query(name: str, views: str = "", sql: str | None = None):
     def keep(fn: Callable[[Market], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Registered(fn, with_views(views.split(), sql) if sql else None)
+        REGISTRY[name] = Registered(fn, tuple(views.split()), sql)
         return fn
     return keep
 
@@ -50,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: entry.sql for name, entry in load().items() if entry.sql}
+    return {name: with_views(entry.views, entry.sql) for name, entry in load().items() if entry.sql}

@@ -64,7 +64,7 @@ if __name__ == "__main__":
     root = "/root/testdata/sf0.01"
     spark = build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.sql.legacy.createHiveTableByDefault": "false"})
+        "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
     runs, sqls = registry.queries(), registry.oracle_sql()
