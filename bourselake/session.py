@@ -17,6 +17,8 @@ def build_session(app: str = "bourselake", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # windows cost CPU, not bytes: do not fold small shuffles into one task
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     }
