@@ -1,10 +1,11 @@
 """Influence and dependency graphs as edge tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourselake.functions import lagged, safe_div
+from bourselake.session import cut_lineage
 
 
 def node_returns(bars: DataFrame, sector_index: DataFrame, drivers: DataFrame | None = None
@@ -18,3 +19,95 @@ def node_returns(bars: DataFrame, sector_index: DataFrame, drivers: DataFrame |
     if drivers is not None:
         out = out.unionByName(drivers.select("node", "date", "r"))
     return out.filter("r IS NOT NULL")
+
+
+# -- influence graph ---------------------------------------------------------------------------
+def verdicts(edges: DataFrame) -> DataFrame:
+    """Name what the correlations say about the expected sign of each edge."""
+    sign = F.col("expected_sign")
+    together = F.col("corr0") * sign
+    lead_corr = F.coalesce("lead_corr", F.lit(0.0))
+    strongest = F.greatest(F.abs("corr0"), F.abs(lead_corr))
+    days = F.col("lead_lag").cast("int").cast("string")
+    verdict = (F.when(F.col("corr0").isNull(), "untested (too few bars)")
+               .when(together >= 0.3, "supported (co-move)")
+               .when((F.col("lead_lag") > 0) & (lead_corr * sign >= 0.2),
+                     F.concat(F.lit("supported (leads "), days, F.lit("d)")))
+               .when(strongest < 0.1, "no daily link")
+               .when((together < 0) & (F.abs("corr0") >= 0.1), "wrong sign").otherwise("weak"))
+    return edges.withColumn("verdict", verdict)
+
+
+def sector_edges(constituents: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Driver -> sector and member -> sector edges with their expected sign."""
+    members = constituents.select(F.col("symbol").alias("src"), F.col("sector").alias("dst"),
+                                  F.lit(1).alias("expected_sign"), F.lit("stock").alias("kind"))
+    sectors = constituents.select("sector").distinct()
+    # a driver acts on every sector: drivers carry the (short) sector list as one array
+    listed = sectors.agg(F.array_sort(F.collect_set("sector"))).scalar()
+    outside = drivers.withColumn("dst", F.explode(listed)).select(
+        F.col("driver").alias("src"), "dst", "expected_sign", F.lit("driver").alias("kind"))
+    return members.unionByName(outside)
+
+
+def bellwethers(edges: DataFrame, k: int | None = None) -> DataFrame:
+    """Members of each sector by the size of their co-movement."""
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy(
+        F.desc(F.abs(F.coalesce("corr0", F.lit(0.0)))), "src"))
+    out = edges.filter("kind = 'stock'").withColumn("rank", rank.cast("bigint"))
+    return out if k is None else out.filter(F.col("rank") <= k)
+
+
+# -- dependency graph ----------------------------------------------------------------------------
+# Confidence labels from weak to strong.
+CONFIDENCE = ("low", "medium", "high")
+
+
+def merge_relations(relations: DataFrame) -> DataFrame:
+    """One edge per (src, dst, relation): all evidence, best confidence, last stated strength.
+
+    `seq` orders the deliveries. Evidence stays in rows (edge_evidence); the edge counts it.
+    """
+    rank = sum((F.when(F.col("confidence") == c, i + 1).otherwise(0) for i, c in enumerate(CONFIDENCE)),
+               F.lit(0))
+    merged = relations.groupBy("src", "dst", "relation").agg(
+        F.count("*").alias("n_evidence"), F.max(rank).alias("_rank"),
+        F.max_by("strength", F.when(F.col("strength").isNotNull(), F.col("seq"))).alias("strength"))
+    label = F.element_at(F.array(*[F.lit(c) for c in CONFIDENCE]), F.col("_rank"))
+    return merged.withColumn("confidence", label).drop("_rank")
+
+
+def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, breadth: int = 5) -> DataFrame:
+    """Breadth-first expansion: each level follows the strongest `breadth` edges per node.
+
+    `edges(src, dst, strength)` is directed; the visited set is cut from its lineage per level.
+    """
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc_nulls_last("strength"), "dst"))
+    strongest = edges.withColumn("_k", rank).filter(F.col("_k") <= breadth).select("src", "dst")
+    visited = seeds.select("node", F.lit(0).alias("level"))
+    frontier = visited
+    for level in range(1, depth + 1):
+        reached = (frontier.join(strongest, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+                   .distinct().join(visited.select("node"), "node", "left_anti"))
+        frontier = cut_lineage(reached.withColumn("level", F.lit(level)))
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK") -> DataFrame:
+    """Company pairs a < b that share a person, with the number shared.
+
+    `membership(company, person)`. Every person emits one row per pair of own companies; boards
+    per person are few, and pairs are folded before the shuffle.
+    """
+    a = membership.select("person", F.col("company").alias("src")).distinct()
+    b = membership.select("person", F.col("company").alias("dst")).distinct()
+    return (a.join(b, "person").filter("src < dst").groupBy("src", "dst")
+            .agg(F.count("*").alias("n_shared")).withColumn("relation", F.lit(relation)))
+
+
+def related_parties(rows: DataFrame) -> DataFrame:
+    """Related-party table to group edges; strength is the largest amount."""
+    return rows.groupBy("src", "dst").agg(F.max("amount").alias("strength"),
+                                          F.count("*").alias("n_evidence")).withColumn(
+        "relation", F.lit("GROUP_ENTITY"))
