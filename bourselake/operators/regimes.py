@@ -408,8 +408,12 @@ def exposure_ceiling(inputs: DataFrame) -> DataFrame:
     advice = (F.when((c < 30) | yes(risk < 25), "CASH_PRIORITY")
               .when((c < 50) | yes(risk < 40) | (F.col("missing_critical") >= 2), "REDUCE_ONLY").otherwise("NEW_ENTRY_ALLOWED"))
     broad = yes(F.col("uptrend") >= 50).cast("int") + yes(F.col("breadth") >= 50).cast("int")
+    n = sum((F.col(k).isNotNull().cast("int") for k in EXPOSURE_WEIGHTS), F.lit(0))
+    sure = F.when((n >= 6) & (F.col("missing_critical") == 0), "HIGH").when(
+        (n >= 4) | (F.col("missing_critical") <= 1), "MEDIUM").otherwise("LOW")
     return (df.withColumn("ceiling_pct", F.floor(ceiling + 1e-9).cast("bigint")).withColumn("recommendation", advice)
-            .withColumn("participation", F.when(broad >= 1, "BROAD").otherwise("NARROW")))
+            .withColumn("participation", F.when(broad == 2, "BROAD").when(broad == 1, "MODERATE").otherwise("NARROW"))
+            .withColumn("confidence", sure))
 
 
 BUBBLE = ("mass_penetration", "media_saturation", "new_accounts", "new_issuance", "leverage", "price_acceleration",
@@ -439,7 +443,13 @@ DIRECTIONS = {"concentration": ("broadening", "concentrating", "unknown"),
               "equity_bond": ("risk_on", "risk_off", "neutral"), "sector_rotation": ("risk_on", "risk_off", "neutral")}
 
 
-def macro_components(ratios: DataFrame, crossings: DataFrame) -> DataFrame:
+def correlation_bonus(six: Column, twelve: Column) -> Column:
+    """Points for the equity-bond component when its correlation changes."""
+    return F.when(six.isNull() | twelve.isNull(), 0.0).when((six > 0) != (twelve > 0), 20.0).when(
+        F.abs(six - twelve) > 0.3, 10.0).otherwise(0.0)
+
+
+def macro_components(ratios: DataFrame, crossings: DataFrame, bonus: Column | None = None) -> DataFrame:
     """Transition score and direction per component. `ratios(symbol, month, ratio)`, one series each;
     `crossings` is the crossover summary of the same series."""
     w = Window.partitionBy("symbol").orderBy("month")
@@ -461,7 +471,8 @@ def macro_components(ratios: DataFrame, crossings: DataFrame) -> DataFrame:
         F.abs(short) > 3, 10).otherwise(0)
     agree = (crossed.cast("int") + yes(((F.col("type") == "golden_cross") & (short > 0)) | ((F.col("type") == "death_cross") & (short < 0))).cast("int")
              + yes(F.abs(F.col("s6") - F.col("s12")) / F.col("s12") * 100 > 0.5).cast("int"))
-    df = df.withColumn("score", clamp((base + shift + agree * 10).cast("double"), 0.0, 100.0))
+    extra = F.when(F.col("symbol") == "equity_bond", F.lit(0.0) if bonus is None else bonus).otherwise(0.0)
+    df = df.withColumn("score", clamp(clamp((base + shift + agree * 10).cast("double"), 0.0, 100.0) + extra, 0.0, 100.0))
     labels = F.create_map(*[x for k, v in DIRECTIONS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
     mine = F.element_at(labels, F.col("symbol"))
     cross = F.when(F.col("type") == "golden_cross", 1).when(F.col("type") == "death_cross", -1)
