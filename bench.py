@@ -14,7 +14,7 @@ from bourselake.session import build_session  # noqa: E402
 HEADLINE = ("breadth_series", "sector_breadth", "features_panel", "indicator_snapshot",
             "ma_deviation_z", "constituent_metrics", "pair_self_join", "risk_metrics",
             "market_regime", "watchlist_topn", "perf_stats", "param_sweep", "forward_returns",
-            "skill_metrics", "influence_edges", "news_pipeline", "similar_signal_join",
+            "skill_metrics", "influence_edges", "news_items", "similar_signal_join",
             "option_prices", "flow_regime", "breadth_health", "macro_regime")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,28 @@ def stddev_full(c, n: int, at_least: int | None = None, population: bool = False
     return _when_full(std(_col(c)).over(w), c, w, n if at_least is None else at_least)
 
 
+def with_moving_z(df: DataFrame, c: str, out: str, n: int, at_least: int, population: bool,
+                  part="symbol", order="date") -> DataFrame:
+    """Score of each value against the mean and deviation of its last n rows.
+
+    Both come from running sums and their values n rows back: constant work per row whatever the
+    frame. Meant for ratios and returns, whose squares keep their digits when summed.
+    """
+    x = F.coalesce(_col(c), F.lit(0.0))
+    up, w = running(part, order), _by(part, order)
+    df = df.withColumn("_r", F.struct(
+        F.sum(x).over(up).alias("s"), F.sum(x * x).over(up).alias("q"), F.count(_col(c)).over(up).cast("double").alias("k")))
+    df = df.withColumn("_o", F.lag("_r", n).over(w))
+
+    def moved(name: str) -> Column:
+        return F.col(f"_r.{name}") - F.coalesce(F.col(f"_o.{name}"), F.lit(0.0))
+    k = moved("k")
+    mean = moved("s") / k
+    var = (moved("q") - moved("s") * mean) / (k if population else k - 1)
+    z = (_col(c) - mean) / F.sqrt(var)
+    return df.withColumn(out, F.when((k >= at_least) & (var > 1e-18), z)).drop("_r", "_o")
+
+
 # -- scoring ---------------------------------------------------------------------------------
 def bands(c, steps: Sequence[tuple[float, object]], otherwise, strict: bool = False) -> Column:
     """First step whose threshold the value reaches, steps in descending order."""

@@ -55,8 +55,9 @@ def portfolio_returns(positions: DataFrame, keys: Sequence[str], fees: float = F
                       slippage: float = SLIPPAGE) -> DataFrame:
     """Daily net return per key: weight = position over the number of names held that date."""
     keys = list(keys)
-    names = positions.groupBy(*keys, "date").agg(F.count_if(F.col("pos") > 0).alias("n_held"))
-    df = positions.join(names, [*keys, "date"])
+    # the names of one date share a partition for a moment: at most one row per symbol
+    names = F.count_if(F.col("pos") > 0).over(Window.partitionBy(*keys, "date"))
+    df = positions.withColumn("n_held", names)
     df = df.withColumn("weight", F.coalesce(F.try_divide("pos", "n_held"), F.lit(0.0)))
     prev = F.coalesce(F.lag("weight").over(
         Window.partitionBy(*keys, "symbol").orderBy("date")), F.lit(0.0))

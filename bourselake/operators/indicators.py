@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourselake.functions import (
-    avg_full, bands, clamp, lagged, running, safe_div, stddev_full, trailing, yes,
+    avg_full, bands, clamp, lagged, running, safe_div, stddev_full, trailing, with_moving_z, yes,
 )
 from bourselake.operators.recurrence import ema, wilder
 
@@ -144,7 +144,7 @@ def feature_panel(bars: DataFrame) -> DataFrame:
           .withColumn("atr14", avg_full("tr", 14))
           .withColumn("atr_pct", safe_div("atr14", "close")))
     for metric in Z_METRICS:
-        df = df.withColumn(f"{metric}_z", rolling_z(metric))
+        df = with_moving_z(df, metric, f"{metric}_z", 60, 30, population=True)
     return df
 
 
@@ -163,9 +163,8 @@ def deviation_z(ma: int = 25, window: int = 120, trend: int = 200):
     """(df) -> df with dev_z: the deviation from the mean, scored on its own recent history."""
     def add(df: DataFrame) -> DataFrame:
         df = df.withColumn("_dev", safe_div(F.col("close") - sma("close", ma), sma("close", ma)))
-        sd = stddev_full("_dev", window)
-        z = safe_div(F.col("_dev") - avg_full("_dev", window), sd)
-        return df.withColumn("dev_z", F.when(bar_number() >= max(ma, trend), z)).drop("_dev")
+        df = with_moving_z(df, "_dev", "_z", window, window, population=False)
+        return df.withColumn("dev_z", F.when(bar_number() >= max(ma, trend), F.col("_z"))).drop("_dev", "_z")
     return add
 
 

@@ -105,6 +105,13 @@ def dislocation_breadth(df: DataFrame, entry: float) -> DataFrame:
         F.count_if(F.col("dev_z") < entry), F.count("dev_z")), F.lit(0.0)).alias("dislocation"))
 
 
+def with_dislocation(df: DataFrame, score: str, entry: float) -> DataFrame:
+    """The same share on every row of its date, without a second pass over the scores."""
+    day = Window.partitionBy("date")
+    return df.withColumn("dislocation", F.coalesce(F.try_divide(
+        F.count_if(F.col(score) < entry).over(day), F.count(score).over(day)), F.lit(0.0)))
+
+
 def realized_vol(returns: DataFrame, dates: DataFrame, benchmark: str) -> DataFrame:
     """20 and 60-date population volatility of a benchmark, else of the market's mean return."""
     recent = returns.join(dates, "date").filter("ret_1d IS NOT NULL")

@@ -24,9 +24,7 @@ def strategies(m: Market) -> DataFrame:
                              .withColumn("wz", ind.window_z()))
     for ma in ANCHORS:
         df = ind.deviation_z(ma)(df).withColumnRenamed("dev_z", f"z{ma}")
-    z = df.withColumn("dev_z", F.col("z25"))
-    wide = sec.dislocation_breadth(z.select("date", "dev_z"), bt.ENTRY)
-    df = df.join(wide, "date")
+    df = sec.with_dislocation(df, "z25", bt.ENTRY)
     gate = (F.col("absorption") >= 0.5) & (F.col("dislocation") >= 0.3)
     columns = {f"bnf_{ma}": bt.reversion_target(f"z{ma}", F.col("up")) for ma in ANCHORS}
     columns["bnf_flow"] = bt.reversion_target("z25", F.col("up"), gate=gate)
@@ -131,7 +129,7 @@ add_view("trade_runs", "pos", f"""SELECT strategy, symbol, run, EXP(SUM(LN(COALE
   R4(profit_factor) AS profit_factor, R6(expectancy) AS expectancy FROM stats s LEFT JOIN (SELECT strategy, COUNT(*) AS n_trades, AVG(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS win_rate,
   SUM(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / NULLIF(SUM(CASE WHEN pnl <= 0 THEN -pnl ELSE 0 END), 0) AS profit_factor, AVG(pnl) AS expectancy FROM trade_runs GROUP BY 1) t ON s.strategy = t.strategy""")
 def q_perf(m):
-    pos = positions(m)
+    pos = cut_lineage(positions(m))
     df = bt.return_stats(bt.portfolio_returns(pos, ["strategy"]), ["strategy"]).join(
         bt.trade_stats(bt.trades(pos, ["strategy"]), ["strategy"]), "strategy", "left")
     return df.select("strategy", "n_days", *[r4(c).alias(c) for c in PS], "n_trades", r4("win_rate").alias("win_rate"),

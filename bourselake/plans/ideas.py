@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bourselake.functions import r2, r4, r6
-from bourselake.operators import indicators as ind, pipeline as pl
+from bourselake.operators import ideas as pl, indicators as ind
 from bourselake.operators.breadth import breadth_series
 from bourselake.plans.news import count_sql, quoted
 from bourselake.plans.registry import query

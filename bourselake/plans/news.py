@@ -91,9 +91,9 @@ def page_items(m: Market):
                                    nw.strip_tags("html").alias("body"))
 
 
-@query("news_pipeline", "page_tagged", """SELECT page_id, title, SUBSTRING(body, 1, 300) AS summary, event_type, sentiment, sectors, impact FROM page_tagged
+@query("news_items", "page_tagged", """SELECT page_id, title, SUBSTRING(body, 1, 300) AS summary, event_type, sentiment, sectors, impact FROM page_tagged
   QUALIFY ROW_NUMBER() OVER (PARTITION BY SUBSTRING(REGEXP_REPLACE(LOWER(title), '[^a-z0-9]', '', 'g'), 1, 50) ORDER BY impact DESC, url, page_id) = 1""")
-def q_pipeline(m):
+def q_items(m):
     """Pages: tags stripped, whole texts classified, best item per title; the summary is for display."""
     df = nw.dedupe_titles(nw.classify(page_items(m)), "url", "page_id")
     return df.select("page_id", "title", F.substring("body", 1, 300).alias("summary"), "event_type", "sentiment",

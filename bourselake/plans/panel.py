@@ -81,6 +81,11 @@ def q_atr(m):
     return show(ind.with_atr(m.bars.withColumn("true_range", ind.true_range())), "true_range", "atr")
 
 
+@query("true_range", "tr1", "SELECT symbol, date, R6(tr) AS true_range FROM tr1")
+def q_true_range(m):
+    return m.bars.select(*KEY, r6(ind.true_range()).alias("true_range"))
+
+
 @query("atr_sma", "tr1", f"""SELECT symbol, date, R6({avg('tr', 14)}) AS atr14,
   R6({avg('tr', 14)} / close) AS atr_pct FROM tr1""")
 def q_atr_sma(m):
@@ -190,6 +195,11 @@ add_view("rs_ranked", "features", """SELECT *, CASE WHEN rs_120 IS NOT NULL THEN
   / COUNT(rs_120) OVER (PARTITION BY date) END AS rs_rank_pct FROM features""")
 
 
+@query("rs_120", "features", "SELECT symbol, date, R6(rs_120) AS rs_120 FROM features")
+def q_rs_120(m):
+    return m.bars.select(*KEY, r6(ind.change("close", 120)).alias("rs_120"))
+
+
 @query("rs_rank_pct", "rs_ranked", """SELECT symbol, date, R6(rs_120) AS rs_120,
   R6(CAST(rs_rank_pct AS DOUBLE)) AS rs_rank_pct FROM rs_ranked""")
 def q_rs_rank(m):

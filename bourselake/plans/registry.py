@@ -22,7 +22,7 @@ class Registered:
 REGISTRY: dict[str, Registered] = {}
 
 MODULES = ("scans", "panel", "aggregates", "backtests", "scanners", "regimes", "breadth",
-           "graph", "signals", "pipeline", "postmortems", "news", "options", "statistics",
+           "graph", "signals", "ideas", "postmortems", "news", "options", "statistics",
            "streams")
 
 

@@ -28,7 +28,10 @@ class Scan:
         self.target = uni.resolved_date(m.bars, AS_OF)
         # every scanner reads the same recent slice: write it once, 90 rows per symbol at most
         recent = last_dates(bars, 90, F.lit(AS_OF).cast("date")).select("date")
-        self.panel = cut_lineage(ind.feature_panel(bars).join(recent, "date"))
+        # the longest look-back is 200 bars, so 290 bars per symbol settle the last 90 exactly
+        newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+        slice_ = bars.withColumn("k", newest).filter("k <= 300").drop("k")
+        self.panel = cut_lineage(ind.feature_panel(slice_).join(recent, "date"))
         self.today = sc.tradable_at(self.panel, self.target, MIN_PRICE, MIN_VOLUME)
         self.regime = cut_lineage(sc.market_regime(self.panel, self.today, self.target, BENCH))
         self.label = self.regime.select("regime_label").scalar()

@@ -144,6 +144,12 @@ def q_upsert(m):
     return nz.upsert_history(history, new).withColumn("score", r4("score"))
 
 
+@query("optional_table", "", "SELECT p_partkey, p_brand, p_size FROM part")
+def q_optional(m):
+    from bourselake.sources.readers import read_optional_table
+    return read_optional_table(m.spark, f"{m.root}/part.parquet").select("p_partkey", "p_brand", "p_size")
+
+
 @query("provenance", "bars", "SELECT symbol, COUNT(*) AS n_bars, 'computed' AS provenance FROM bars GROUP BY symbol")
 def q_provenance(m):
     return nz.with_provenance(m.bars.groupBy("symbol").agg(F.count("*").alias("n_bars")), "computed")

@@ -7,6 +7,7 @@ from bourselake.functions import r4, r6
 from bourselake.operators import signals as sg
 from bourselake.plans.registry import query
 from bourselake.plans.views import add_view
+from bourselake.session import cut_lineage
 from bourselake.sources.market import Market
 
 AS_OF = "2024-01-31"
@@ -89,7 +90,7 @@ WITH p AS (SELECT a.batch, a.direction, a.tickers AS tickers_a, a.title AS title
 SELECT batch, direction, title_a, title_b, R6(ts) AS ticker_sim, R6(xs) AS title_sim, n_pairs FROM p WHERE ts >= 0.3 OR xs >= 0.6""")
 def q_similar(m):
     """Similar signature pairs; titles ordered by name, with the number of signal pairs they stand for."""
-    sigs = sg.signatures(canonical(m))
+    sigs = cut_lineage(sg.signatures(canonical(m)))
     names = sigs.select("sig", "batch", "direction", "title")
     df = sg.similar_pairs(sigs).select("sig_a", "sig_b", "ticker_sim", "title_sim", (F.col("n_a") * F.col("n_b")).alias("n_pairs"))
     df = df.join(names.withColumnsRenamed({"sig": "sig_a", "title": "ta"}), "sig_a").join(
