@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourselake.functions import lagged, safe_div
+from bourselake.operators.pairs import pair_moments
 from bourselake.session import cut_lineage
 
 
@@ -94,16 +95,18 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, breadth: int = 5)
     return visited
 
 
-def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK") -> DataFrame:
+def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK", blocks: int = 4,
+                   chunks: int = 4) -> DataFrame:
     """Company pairs a < b that share a person, with the number shared.
 
-    `membership(company, person)`. Every person emits one row per pair of own companies; boards
-    per person are few, and pairs are folded before the shuffle.
+    `membership(company, person)`. Shared persons are counted as a matrix product over blocks of
+    companies and chunks of persons, so a person on very many boards emits no pair rows.
     """
-    a = membership.select("person", F.col("company").alias("src")).distinct()
-    b = membership.select("person", F.col("company").alias("dst")).distinct()
-    return (a.join(b, "person").filter("src < dst").groupBy("src", "dst")
-            .agg(F.count("*").alias("n_shared")).withColumn("relation", F.lit(relation)))
+    seats = membership.select(F.col("company").alias("symbol"), F.col("person").alias("date"),
+                              F.lit(1.0).alias("seat")).distinct()
+    shared = pair_moments(seats, "seat", blocks, chunks=chunks)
+    return shared.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("n_shared"),
+                         F.lit(relation).alias("relation"))
 
 
 def related_parties(rows: DataFrame) -> DataFrame:

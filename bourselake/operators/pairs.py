@@ -17,12 +17,14 @@ MOMENTS = ("a string, b string, n bigint, sx double, sy double, sxx double, syy
            "sxy double")
 
 
-def _spread_over_blocks(df: DataFrame, value: str, blocks: int) -> DataFrame:
+def _spread_over_blocks(df: DataFrame, value: str, blocks: int, chunks: int = 1) -> DataFrame:
     own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     df = df.filter(F.col(value).isNotNull()).select(
         "symbol", "date", F.col(value).cast("double").alias("v"), own.alias("own"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return df.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    chunk = F.pmod(F.xxhash64("date"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
+    return (df.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+            .withColumn("chunk", chunk))
 
 
 def _matrices(pdf: pd.DataFrame):
@@ -34,8 +36,12 @@ def _matrices(pdf: pd.DataFrame):
     return wide, left, right
 
 
-def pair_moments(df: DataFrame, value: str, blocks: int = 8, with_self: bool = False) -> DataFrame:
-    """Counts, sums and cross products over shared dates for every pair a < b (or a <= b)."""
+def pair_moments(df: DataFrame, value: str, blocks: int = 8, with_self: bool = False, chunks: int = 1) -> DataFrame:
+    """Counts, sums and cross products over shared dates for every pair a < b (or a <= b).
+
+    With `chunks` the rows of a block pair are split by hash as well, and the partial moments of a
+    pair are added up; use it where the row axis is not a calendar.
+    """
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
         wide, left, right = _matrices(pdf)
         x, y = wide[left].to_numpy(), wide[right].to_numpy()
@@ -59,7 +65,10 @@ def pair_moments(df: DataFrame, value: str, blocks: int = 8, with_self: bool = F
             keep = n > 0
         return out[keep]
 
-    return _spread_over_blocks(df, value, blocks).groupBy("p", "q").applyInPandas(gram, MOMENTS)
+    parts = _spread_over_blocks(df, value, blocks, chunks).groupBy("p", "q", "chunk").applyInPandas(gram, MOMENTS)
+    if chunks == 1:
+        return parts
+    return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
 def with_correlation(moments: DataFrame, least: int = 2) -> DataFrame:

@@ -86,17 +86,15 @@ def q_regime(m):
     return Scan(m).regime.select("universe_count", "bench_above_ma200", "regime_label", *[r4(c).alias(c) for c in RG])
 
 
-@query("hint_match", "hints today", """SELECT t.symbol, h.entry_family, h.news_id, h.title FROM today t JOIN hints h ON h.symbol = t.symbol OR h.symbol IS NULL""")
+@query("hint_match", "hints boost today", """
+WITH f(entry_family) AS (VALUES ('pivot_breakout'), ('gap_up_continuation'), ('panic_reversal'))
+SELECT t.symbol, f.entry_family, COALESCE(a.n, 0) + COALESCE(b.n, 0) AS n_hints, CAST(LEAST(COALESCE(a.points, 0) + COALESCE(b.points, 0), 20) AS DOUBLE) AS hint_boost
+FROM today t, f LEFT JOIN boost a ON a.symbol = t.symbol AND a.entry_family = f.entry_family LEFT JOIN boost b ON b.symbol IS NULL AND b.entry_family = f.entry_family""")
 def q_hint_match(m):
-    """Which hints speak for which tradable name: by symbol, or for everyone."""
+    """Points per tradable name and entry family; hints are summed before they meet the names."""
     scan = Scan(m)
-    names = scan.today.select("symbol")
-    own = scan.hints.filter(F.size("symbols") > 0).withColumn("symbol", F.explode("symbols")).join(names, "symbol", "left_semi")
-    # hints without symbols apply to every name: expand the names held as one small array per hint
-    everyone = names.agg(F.array_sort(F.collect_set("symbol"))).scalar()
-    wide = scan.hints.filter(F.size("symbols") == 0).withColumn("symbol", F.explode(everyone))
-    cols = ("symbol", "entry_family", "news_id", "title")
-    return own.select(*cols).unionByName(wide.select(*cols))
+    names = scan.today.select("symbol", F.explode(F.array(*[F.lit(f) for f in HINT_FAMILIES])).alias("entry_family"))
+    return sc.with_hint_boost(names, scan.hints).select("symbol", "entry_family", "n_hints", "hint_boost")
 
 
 def pts(on, neutral, off):

@@ -46,6 +46,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that a lost executor cannot lose the result."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
     return df.checkpoint(eager=True)
