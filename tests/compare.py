@@ -61,7 +61,8 @@ if __name__ == "__main__":
     from bourselake.plans import registry
     from bourselake.session import build_session
 
-    root = "/root/testdata/sf0.01"
+    import os
+    root = os.environ.get("COMPARE_DIR", "/root/testdata/sf0.01")
     spark = build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
         "spark.ui.showConsoleProgress": "false"})
