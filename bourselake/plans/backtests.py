@@ -234,7 +234,7 @@ WITH p AS (SELECT b.symbol, b.date, b.close, r.rsi, l.macd, s.y AS sig, b.m20, b
 q AS (SELECT symbol, date, rsi, {cross('rsi', 'l30', False)} AS rsi_entry, {cross('rsi', 'l70')} AS rsi_exit, {cross('macd', 'sig')} AS macd_entry, {cross('macd', 'sig', False)} AS macd_exit,
   CAST(COALESCE(close < m20 - 2 * sd, FALSE) AS BIGINT) AS bb_entry, CAST(COALESCE(close > m20 + 2 * sd, FALSE) AS BIGINT) AS bb_exit,
   {cross('fast', 'slow')} AS ma_entry, {cross('fast', 'slow', False)} AS ma_exit FROM p)
-SELECT * EXCLUDE (rsi), CASE WHEN ma_entry = 1 AND rsi < 60 THEN 1 ELSE 0 END AS combined_entry, CASE WHEN ma_exit = 1 OR rsi > 80 THEN 1 ELSE 0 END AS combined_exit FROM q""")
+SELECT * EXCLUDE (rsi), CASE WHEN ma_entry = 1 AND rsi < 60 THEN CAST(1 AS BIGINT) ELSE 0 END AS combined_entry, CASE WHEN ma_exit = 1 OR rsi > 80 THEN CAST(1 AS BIGINT) ELSE 0 END AS combined_exit FROM q""")
 def q_patterns(m):
     return bt.signal_patterns(m.bars)
 

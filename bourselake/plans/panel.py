@@ -262,8 +262,8 @@ def q_cagr(m):
 
 
 @query("high_low_52w", "bars", f"""SELECT symbol, date,
-  CASE WHEN COUNT(close) OVER {tr(252)} >= 20 AND close >= MAX(close) OVER {tr(252)} THEN 1 ELSE 0 END AS new_high,
-  CASE WHEN COUNT(close) OVER {tr(252)} >= 20 AND close <= MIN(close) OVER {tr(252)} THEN 1 ELSE 0 END AS new_low FROM bars""")
+  CASE WHEN COUNT(close) OVER {tr(252)} >= 20 AND close >= MAX(close) OVER {tr(252)} THEN CAST(1 AS BIGINT) ELSE 0 END AS new_high,
+  CASE WHEN COUNT(close) OVER {tr(252)} >= 20 AND close <= MIN(close) OVER {tr(252)} THEN CAST(1 AS BIGINT) ELSE 0 END AS new_low FROM bars""")
 def q_high_low(m):
     high, low = ind.at_extreme()
     return m.bars.select(*KEY, bool_int(high).alias("new_high"), bool_int(low).alias("new_low"))
@@ -307,7 +307,7 @@ def q_nested(m):
 
 
 @query("volume_dryup", "bars", f"""SELECT symbol, date, R6({avg('volume', 10)} / {avg('volume', 50)}) AS dry_up_ratio,
-  CASE WHEN r < 0.4 THEN 90.0 WHEN r < 0.5 THEN 80.0 WHEN r < 0.6 THEN 70.0 WHEN r < 0.7 THEN 60.0
+  CASE WHEN r < 0.4 THEN CAST(90 AS DOUBLE) WHEN r < 0.5 THEN 80.0 WHEN r < 0.6 THEN 70.0 WHEN r < 0.7 THEN 60.0
   WHEN r < 0.8 THEN 45.0 WHEN r < 0.9 THEN 30.0 WHEN r >= 0.9 THEN 15.0 END AS score
   FROM (SELECT *, R6({avg('volume', 10)} / {avg('volume', 50)}) AS r FROM bars)""")
 def q_dryup(m):
@@ -326,7 +326,7 @@ add_view("rs_excess", "bars bench_back", "SELECT symbol, date, "
 
 
 @query("minervini_rs", "rs_excess", """SELECT symbol, date, R4(rs_value) AS rs_value,
-  CASE WHEN R4(rs_value) > 50 THEN 95.0 WHEN R4(rs_value) > 30 THEN 80.0 WHEN R4(rs_value) > 15 THEN 65.0
+  CASE WHEN R4(rs_value) > 50 THEN CAST(95 AS DOUBLE) WHEN R4(rs_value) > 30 THEN 80.0 WHEN R4(rs_value) > 15 THEN 65.0
   WHEN R4(rs_value) > 5 THEN 50.0 WHEN R4(rs_value) > 0 THEN 35.0 ELSE 15.0 END AS score FROM rs_excess""")
 def q_minervini(m):
     df = show(ind.weighted_excess(m.bars, m.bench_index), "rs_value", rounding=r4)
