@@ -222,3 +222,27 @@ def test_stream_upsert_keeps_latest(spark, tmp_path):
         write(spark.createDataFrame([("a", 2, 11)], schema), 1)
     got = {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/version=1").collect()}
     assert got == {"a": 11, "b": 20}
+
+
+def test_concepts_merge_by_containment(spark):
+    rows = [("c1", "h", 5, 10.0, ["a", "b"]), ("c2", "h", 9, 20.0, ["a", "b", "c"]), ("c3", "h", 1, 30.0, ["x"]), ("d1", "g", 2, 5.0, ["a", "b"])]
+    df = spark.createDataFrame(rows, "id string, hypothesis_type string, ticket_count long, avg_priority double, representative_conditions array<string>")
+    out = {r.id: (r.merged_ids, r.ticket_count, r.conditions) for r in ideas.dedupe_concepts(df).collect()}
+    assert out == {"c2": ("c1,c2", 14, "a,b,c"), "c3": ("c3", 1, "x"), "d1": ("d1", 2, "a,b")}
+
+
+def test_stream_anomalies_equal_brute_force(spark):
+    from bourselake.plans import registry
+    from conftest import SMALL
+    got = {r.event_id: r.z for r in registry.queries()["stream_anomaly"](spark, SMALL).collect()}
+    ev = pd.read_parquet(f"{SMALL}/events.parquet").sort_values("ts")
+    want = {}
+    for _, rows in ev.groupby(ev["user_id"] % 25):
+        n, mean, var = 0, 0.0, 0.0
+        for ident, price in zip(rows["event_id"], rows["value"]):
+            if n >= 30 and var > 0 and abs(price - mean) >= 2 * var ** 0.5:
+                want[ident] = (price - mean) / var ** 0.5
+            d = price - mean
+            mean, var = (price, 0.0) if n == 0 else (mean + 0.06 * d, 0.94 * (var + 0.06 * d * d))
+            n += 1
+    assert want and got == pytest.approx(want)
