@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from bourselake.plans.views import with_views
+from bourselake.session import ship
 from bourselake.sources.market import Market
 
 
@@ -46,7 +47,10 @@ def load() -> dict[str, Registered]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(entry: Registered):
-        return lambda spark, sf_dir: entry.run(Market(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return entry.run(Market(spark, sf_dir))
+        return run
     return {name: bind(entry) for name, entry in load().items()}
 
 
