@@ -97,11 +97,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, n_buckets: int = 65536, ta
     """
     docs = docs.select("doc_id", "text")
     ratios = bucket_ratios(docs, labels, n_buckets, target_rows)
-    ratio = ratios.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))),
-                                   lambda x: x["ratio"]).alias("ratio")).scalar()
+    model = [0.0] * n_buckets  # a fixed size, whatever the corpus
+    for row in ratios.collect():
+        model[row["bucket"]] = row["ratio"]
+    ratio = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in model) + "]"), "array<double>")
     base = base_rules(docs).withColumn("buckets", ngram_buckets(F.col("words"), n_buckets))
-    total = F.aggregate("buckets", F.lit(0.0), lambda acc, b: acc + F.get(F.col("ratio"), b))
-    scored = written(base.withColumn("ratio", ratio).withColumn("score", F.coalesce(
-        F.try_divide(total, F.size("buckets")), F.lit(0.0))).drop("words", "buckets", "ratio"))
+    total = F.aggregate("buckets", F.lit(0.0), lambda acc, b: acc + F.get(ratio, b))
+    scored = written(base.withColumn("score", F.coalesce(F.try_divide(total, F.size("buckets")), F.lit(0.0))
+                                     ).drop("words", "buckets"))
     cut = cut_point(scored, labels.select("doc_id", "quality")).select("cut").scalar()
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= cut, F.lit(True)))

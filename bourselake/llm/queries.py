@@ -6,8 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bourselake.llm import chat, quality
-from bourselake.llm.common import table
+from bourselake.llm import chat, decontam, quality, toxicity
+from bourselake.llm.common import bucket5, table
 from bourselake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                        "score")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = docs.select("doc_id", (bucket5("doc_id") == 0).alias("held_out"),
+                       toxicity.toxicity(docs, table(spark, sf_dir, "labels")).alias("made"))
+    return made.select("doc_id", "held_out", F.col("made.score").alias("score"),
+                       F.when(F.col("made.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("made.spans").alias("n_spans"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = decontam.with_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "found")
+    n_hit = F.size("found.hits").cast("long")
+    return docs.select("doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
