@@ -39,6 +39,11 @@ def bucket5(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a lambda variable, since Spark repeats shared parts inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(numbers: Column, block: int = 128) -> Column:
     """Running sums of an integer array, itself included, in blocks so that long arrays are not copied per element."""
     def running(array: Column, finish) -> Column:
@@ -47,13 +52,16 @@ def prefix_sums(numbers: Column, block: int = 128) -> Column:
             F.concat(acc["done"], F.array(finish(acc, x))).alias("done"), (acc["total"] + x).alias("total")),
             lambda acc: acc["done"])
 
-    numbers = F.transform(numbers, lambda x: x.cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")),
-                         lambda b: F.slice(numbers, b * block + 1, F.lit(block)))
-    within = F.transform(blocks, lambda part: running(part, lambda acc, x: acc["total"] + x))
-    bases = running(F.transform(within, lambda part: F.element_at(part, -1)), lambda acc, x: acc["total"])
-    sums = F.flatten(F.zip_with(within, bases, lambda part, base: F.transform(part, lambda x: x + base)))
-    return F.when(F.size(numbers) > 0, sums).otherwise(F.array().cast("array<int>"))
+    def joined(within: Column) -> Column:
+        bases = running(F.transform(within, lambda part: F.element_at(part, -1)), lambda acc, x: acc["total"])
+        return F.flatten(F.zip_with(within, bases, lambda part, base: F.transform(part, lambda x: x + base)))
+
+    def summed(array: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / block).cast("int")),
+                             lambda b: running(F.slice(array, b * block + 1, F.lit(block)), lambda acc, x: acc["total"] + x))
+        return F.when(F.size(array) > 0, let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(F.transform(numbers, lambda x: x.cast("int")), summed)
 
 
 def spans_of(text: Column, pattern: str) -> Column:
@@ -61,11 +69,13 @@ def spans_of(text: Column, pattern: str) -> Column:
 
     Positions are running sums over what lies between matches and the matches themselves.
     """
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g))
+        return F.zip_with(found, prefix_sums(steps), lambda m, end: F.struct(
+            (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.length(m) + F.length(g))
-    return F.zip_with(found, prefix_sums(steps), lambda m, end: F.struct(
-        (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(no_spans()))
 
 
 def no_spans() -> Column:
@@ -74,3 +84,10 @@ def no_spans() -> Column:
 
 def span_text(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+
+def tagged(kinds, column, make) -> Column:
+    """One array over the span arrays of several kinds: make(kind, position of the kind, span) per span."""
+    def one(n: int, kind: str) -> Column:
+        return F.transform(column(kind), lambda s: make(kind, n, s))
+    return F.concat(*[one(n, kind) for n, kind in enumerate(kinds)])

@@ -4,17 +4,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import BLANK, text_of, words_of, written
+from bourselake.llm.common import BLANK, let, text_of, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 
 
 def ngram_buckets(words: Column, n_buckets: int) -> Column:
     """Hash buckets of the words and of the word pairs of a text, case kept."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-                       F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n_buckets)).cast("int"))
-    return F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("int")), pairs)
+    bucket = lambda *w: F.pmod(F.xxhash64(*w), F.lit(n_buckets)).cast("int")
+    first = lambda all: F.slice(all, F.lit(1), F.greatest(F.size(all) - 1, F.lit(0)))
+    return let(words, lambda all: F.concat(F.transform(all, lambda w: bucket(w)), F.transform(
+        first(all), lambda w, i: bucket(w, F.get(all, i + 1)))))
 
 
 def repeated_words(words: Column) -> Column:
@@ -23,19 +23,23 @@ def repeated_words(words: Column) -> Column:
     Windows meet as 64-bit hashes, sorted with their positions; only texts with a repeated window sort. Each repeated
     window adds the words up to the next one, three at most.
     """
-    count = F.greatest(F.size(words) - 2, F.lit(0))
-    hashed = F.zip_with(F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.struct(a, b)),
-                        F.slice(words, 3, count), lambda ab, c: F.xxhash64(ab, c))
-    placed = F.sort_array(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    nothing = F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("i"))
-    later = F.concat(F.slice(placed, 2, F.size(placed)), F.array(nothing))
-    earlier = F.concat(F.array(nothing), F.slice(placed, 1, F.size(placed) - 1))
-    near = F.zip_with(F.zip_with(earlier, later, lambda a, b: F.struct(a["h"].alias("a"), b["h"].alias("b"))), placed,
-                      lambda ab, x: F.when((ab["a"] == x["h"]) | (ab["b"] == x["h"]), x["i"]))
-    at = F.sort_array(F.array_compact(near))
-    steps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    covered = F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
-    return F.when(F.size(F.array_distinct(hashed)) < F.size(hashed), covered).otherwise(0).cast("long")
+    first = lambda all: F.slice(all, F.lit(1), F.greatest(F.size(all) - 2, F.lit(0)))
+    hashed = let(words, lambda all: F.transform(first(all), lambda w, i: F.xxhash64(w, F.get(all, i + 1), F.get(all, i + 2))))
+
+    def repeats(placed: Column) -> Column:
+        same = lambda x, i: (F.get(placed, i)["h"] == x["h"])
+        twice = F.filter(placed, lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        steps = F.transform(at, lambda a, i: F.least(F.coalesce(F.get(at, i + 1) - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)
+
+    def counted(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(let(placed, repeats), covered)).otherwise(0)
+
+    return let(hashed, counted).cast("long")
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,7 +47,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     text = text.withColumn("words", words_of(F.col("text")))
     full = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{BLANK}]"))
-    lines = F.when(F.instr("text", "\n") > 0, F.size(full) - F.size(F.array_distinct(full))).otherwise(0)
+    lines = F.when(F.instr("text", "\n") > 0, let(full, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0)
     cut = text.select(
         "doc_id", "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bourselake.llm import chat, decontam, quality, toxicity
+from bourselake.llm import chat, decontam, pii, quality, secret_scan, simhash, toxicity
 from bourselake.llm.common import bucket5, table
 from bourselake.session import ship
 
@@ -99,3 +99,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.size("found.hits").cast("long")
     return docs.select("doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*pii.PATTERNS, "term")]
+    return made.select("doc_id", *counts, F.sha2(pii.all_spans(pii.PATTERNS), 256).alias("base_sha256"),
+                       pii.all_spans((*pii.PATTERNS, "term")).alias("spans"))
+
+
+@query("op6_secret_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = tuple(secret_scan.PATTERNS)
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in (*kinds, "random")]
+    return made.select("doc_id", *counts, F.sha2(secret_scan.span_rows(kinds), 256).alias("base_sha256"),
+                       secret_scan.span_rows((*kinds, "random")).alias("spans"))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

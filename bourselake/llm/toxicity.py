@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import bucket5, text_of, written
+from bourselake.llm.common import bucket5, let, text_of, written
 
 TOKEN = re.compile(r"[^\W_]+")
 TOKEN_JAVA = r"[^\p{L}\p{N}]+"
@@ -177,8 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 1
     chosen = written(chosen.distinct())
     parts = F.array_remove(F.split(F.lower("text"), TOKEN_JAVA), "")
     rows = chosen.select((F.col("toxic") == 1).alias("bad"), parts.alias("parts"))
-    triples = F.zip_with(F.zip_with("parts", F.slice("parts", 2, F.size("parts")), lambda a, b: F.struct(a, b)),
-                         F.slice("parts", 3, F.size("parts")), lambda ab, c: F.xxhash64(ab, c))
+    triples = let(F.col("parts"), lambda all: F.transform(all, lambda w, i: F.xxhash64(w, F.get(all, i + 1), F.get(all, i + 2))))
     rows = rows.select("bad", F.array_min(triples).alias("sketch"), F.array_distinct("parts").alias("parts"))
     sizes = rows.groupBy("bad").agg(F.count_distinct("sketch").alias("n")).collect()
     sizes = {r["bad"]: r["n"] + 1.0 for r in sizes}
