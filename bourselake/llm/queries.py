@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bourselake.llm import chat, decontam, pii, quality, secret_scan, simhash, toxicity
+from bourselake.llm import bpe, chat, decontam, licenses, lm, pii, quality, secret_scan, simhash, toxicity
 from bourselake.llm.common import bucket5, table
 from bourselake.session import ship
 
@@ -122,3 +122,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_license_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source, language, hundreds of ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    made = licenses.scan_licenses(docs.select(path.alias("path"), "text"))
+    return made.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "license", F.round("cosine", 6).alias("cosine"), "origin")
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), **tokenizer_files())
+
+
+def tokenizer_files() -> dict[str, str]:
+    import public_tokenizers
+    return {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

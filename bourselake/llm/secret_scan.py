@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourselake.llm.common import let, no_spans, spans_of, tagged, text_of
+from bourselake.llm.pii import sanitised
 
 PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
@@ -103,3 +104,17 @@ def span_rows(kinds: tuple[str, ...]) -> Column:
     every = tagged(kinds, own, lambda kind, n, s: F.struct(s["start"].alias("start"), F.lit(n).alias("n"), F.concat_ws(
         ":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")).alias("t")))
     return F.array_join(F.transform(F.array_sort(every), lambda x: x["t"]), ",")
+
+
+def masked(found: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+    """Adds `_clean`: the text with every stretch of meeting spans replaced by `mark`."""
+    every = F.array_sort(tagged((*PATTERNS, "random"), own, lambda kind, n, s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def merged(spans: Column) -> Column:
+        reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda t: t["end"])), F.lit(-1))
+        heads = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), reach(i).alias("before"))), lambda s: s["start"] > s["before"])
+        return let(heads, lambda h: F.transform(h, lambda x, i: F.struct(
+            x["start"].alias("start"), F.coalesce(F.get(h, i + 1)["before"], reach(F.size(spans))).alias("end"), F.lit(mark).alias("label"))))
+
+    return found.withColumn("_all", let(every, merged)).withColumn("_clean", F.when(
+        F.size("_all") > 0, let(F.col("_all"), lambda spans: sanitised(F.col("_text"), spans))).otherwise(F.col("_text"))).drop("_all")
