@@ -15,8 +15,8 @@ from bourselake.llm.common import text_of, written
 
 WINDOW, POWER = 16, 0x9E3779B97F4A7C15
 INVERSE = pow(POWER, -1, 1 << 64)
-#: A place where the pre-tokenizer surely cuts: a letter, then one space, then a letter.
-SYNC = re.compile(rb"(?<=[A-Za-z])(?= [A-Za-z])")
+#: A place where the pre-tokenizer surely cuts: no blank, then one space, then a letter or digit.
+SYNC = re.compile(rb"(?<=[!-~])(?= [A-Za-z0-9])")
 #: Characters on which both libraries agree what a letter, digit or blank is; other texts take the slower one.
 PLAIN = re.compile("[\t\n\r -~¡-ɏΑ-ΡΣ-ωА-я–—‘-”一-龥]*")
 

@@ -58,7 +58,7 @@ def ratios(found: DataFrame, random_rows: int) -> Column:
     """Log-likelihood ratio per transition, random over ordinary, as an array of fixed size.
 
     Random samples: the secret values that the patterns find in the corpus, and `random_rows` labelled strings in hex and
-    base64 made by hashing. Ordinary samples: all other long tokens of the corpus. Every cell is smoothed.
+    base64 made by hashing. Ordinary samples: the other long tokens of the corpus that do not mix letters and digits.
     """
     spark = found.sparkSession
     made = spark.range(random_rows).select(F.sha2(F.col("id").cast("string"), 256).alias("hex")).select(F.explode(F.array(
@@ -66,6 +66,7 @@ def ratios(found: DataFrame, random_rows: int) -> Column:
     known = found.select(F.explode(tagged(PATTERNS, own, lambda kind, n, s: value_of(kind, s["value"]))).alias("token"))
     apart = F.concat(*[F.col(f"_{k}") for k in PATTERNS])
     plain = found.select(F.explode(F.filter("_tokens", lambda t: ~within(t, apart))).alias("t")).select("t.value")
+    plain = plain.where(~(F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")))
     rows = made.unionByName(known).withColumn("random", F.lit(1)).unionByName(
         plain.select(F.col("value").alias("token"), F.lit(0).alias("random")))
     rows = rows.groupBy("token", "random").agg(F.lit(1).alias("n"))  # copies of a string are one sample
@@ -75,14 +76,15 @@ def ratios(found: DataFrame, random_rows: int) -> Column:
     return F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in log_ratios(counts)) + "]"), "array<double>")
 
 
-def log_ratios(counts: dict[int, tuple[int, int]]) -> list[float]:
-    """log p_random / p_ordinary per cell, each row of the table a smoothed distribution."""
-    out = []
-    for before in range(SIDE):
-        row = [counts.get(before * SIDE + c, (0, 0)) for c in range(SIDE)]
-        r_all, o_all = (sum(x[k] for x in row) + 0.5 * SIDE for k in (0, 1))
-        out += [math.log((r + 0.5) / r_all) - math.log((o + 0.5) / o_all) for r, o in row]
-    return out
+def log_ratios(counts: dict[int, tuple[int, int]], hold: float = 8.0) -> list[float]:
+    """log p_random / p_ordinary per cell. Each row of a table leans on the frequencies of its characters by `hold` counts."""
+    def chances(k: int) -> list[list[float]]:
+        table = [[counts.get(b * SIDE + c, (0, 0))[k] for c in range(SIDE)] for b in range(SIDE)]
+        total = sum(map(sum, table))
+        alone = [(sum(row[c] for row in table) + 0.5) / (total + 0.5 * SIDE) for c in range(SIDE)]
+        return [[(n + hold * alone[c]) / (sum(row) + hold) for c, n in enumerate(row)] for row in table]
+    random, ordinary = chances(0), chances(1)
+    return [math.log(r / o) for rs, os in zip(random, ordinary) for r, o in zip(rs, os)]
 
 
 def secrets(docs: DataFrame, threshold: float = 0.5, random_rows: int = 4096) -> DataFrame:
