@@ -144,8 +144,10 @@ def classify(items: DataFrame) -> DataFrame:
     return df.withColumn("impact", impact("event_type", "sentiment", "sectors", "stocks")).drop("_t")
 
 
-def title_key(c="title", length: int = 50) -> Column:
-    return F.substring(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), 1, length)
+def title_key(c="title") -> Column:
+    """Letters and digits of the whole title in any script; a title without them is its own key."""
+    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    return F.when(plain == "", F.col(c)).otherwise(plain)
 
 
 def dedupe_titles(items: DataFrame, *ties: str) -> DataFrame:

@@ -194,19 +194,19 @@ def regime_shift(panel: DataFrame, regime: DataFrame, target: Column, delta: flo
 
 
 def leader_followers(panel: DataFrame, today: DataFrame, target: Column, leader_move: float = 0.045,
-                     follower_move: float = 0.015, min_corr: float = 0.25, universe: int = 120,
+                     follower_move: float = 0.015, min_corr: float = 0.25, universe: int | None = None,
                      leaders: int = 6, followers: int = 5, days: int = 90) -> DataFrame:
     """Names that tend to follow today's strongest movers by one date and have not moved yet.
 
-    The universe is the `universe` most traded names and at most `leaders` movers lead, so the
-    join is leaders x universe x days whatever the size of the market.
+    At most `leaders` movers lead, so the join has leaders x names x days rows. The universe is every traded name,
+    or the `universe` most traded ones where that is given.
     """
     dates = last_dates(panel, days, target)
     recent = panel.join(dates, "date")
     newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
     traded = recent.withColumn("k", newest).filter("k <= 20").groupBy("symbol").agg(
         F.avg(F.col("close") * F.col("volume")).alias("dv"))
-    top = traded.orderBy(F.desc("dv"), "symbol").limit(universe).select("symbol")
+    top = (traded if universe is None else traded.orderBy(F.desc("dv"), "symbol").limit(universe)).select("symbol")
     base = recent.join(top, "symbol", "left_semi").select("symbol", "date", "ret_1d")
     movers = (today.filter(F.abs("ret_1d") >= leader_move).join(top, "symbol", "left_semi")
               .orderBy(F.desc(F.abs("ret_1d")), "symbol").limit(leaders)
@@ -255,7 +255,6 @@ def calendar_anomaly(season: DataFrame, today: DataFrame, target: Column, mean_m
     """Seasonally strong names of the target month, scored with strength and volume."""
     strong = season.filter((F.col("month_num") == F.month(target)) & (F.col("sample_count") >= least)
                            & (F.col("mean_ret") >= mean_min) & (F.col("win_rate") >= win_min))
-    strong = strong.orderBy(F.desc("mean_ret"), "symbol").limit(20)
     score = (_part(F.col("mean_ret") / 0.10, 45) + _part(F.col("win_rate"), 30)
              + _part(F.col("rs_rank_pct"), 15) + _part(F.col("rel_volume") / 2.5, 10))
     df = strong.join(today.select("symbol", "rs_rank_pct", "rel_volume"), "symbol")

@@ -73,7 +73,7 @@ def q_impact(m):
     return nw.classify(m.news).select("news_id", "impact")
 
 
-@query("dedupe_titles", "tagged", """SELECT news_id, impact FROM tagged QUALIFY ROW_NUMBER() OVER (PARTITION BY SUBSTRING(REGEXP_REPLACE(LOWER(title), '[^a-z0-9]', '', 'g'), 1, 50)
+@query("dedupe_titles", "tagged", """SELECT news_id, impact FROM tagged QUALIFY ROW_NUMBER() OVER (PARTITION BY COALESCE(NULLIF(REGEXP_REPLACE(LOWER(title), '[^\\p{L}\\p{N}]', '', 'g'), ''), title)
   ORDER BY impact DESC, source, news_id) = 1""")
 def q_dedupe(m):
     df = nw.classify(m.news).select("news_id", "title", "source", "impact")
@@ -92,7 +92,7 @@ def page_items(m: Market):
 
 
 @query("news_items", "page_tagged", """SELECT page_id, title, SUBSTRING(body, 1, 300) AS summary, event_type, sentiment, sectors, impact FROM page_tagged
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY SUBSTRING(REGEXP_REPLACE(LOWER(title), '[^a-z0-9]', '', 'g'), 1, 50) ORDER BY impact DESC, url, page_id) = 1""")
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY COALESCE(NULLIF(REGEXP_REPLACE(LOWER(title), '[^\\p{L}\\p{N}]', '', 'g'), ''), title) ORDER BY impact DESC, url, page_id) = 1""")
 def q_items(m):
     """Pages: tags stripped, whole texts classified, best item per title; the summary is for display."""
     df = nw.dedupe_titles(nw.classify(page_items(m)), "url", "page_id")

@@ -81,17 +81,16 @@ def q_iv_rv(m):
     return df.select("symbol", "date", *[r6(c).alias(c) for c in ("put_call_ratio", "atm_iv", "realized_vol", "iv_rv_spread")])
 
 
-YEARS = (1996, 1997, 1998, 1999)
-add_view("fin_long", "financials_wide", "SELECT symbol, line_item, period, value FROM (UNPIVOT financials_wide ON y1996, y1997, y1998, y1999 INTO NAME period VALUE value)")
+add_view("fin_long", "financials_wide", "SELECT symbol, line_item, period, value FROM (UNPIVOT financials_wide ON COLUMNS('y[0-9]+') INTO NAME period VALUE value)")
 
 
 @query("financials_unpivot", "fin_long", "SELECT * FROM fin_long")
 def q_unpivot(m):
-    return st.unpivot_statements(m.financials_wide, YEARS)
+    return st.unpivot_statements(m.financials_wide, m.years)
 
 
 @query("growth_metrics", "fin_long", """SELECT symbol, line_item, period, value, R6(value / NULLIF(LAG(value) OVER w, 0) - 1) AS yoy, R6(CASE WHEN value / NULLIF(LAG(value, 3) OVER w, 0) > 0 THEN POW(value / NULLIF(LAG(value, 3) OVER w, 0), 1.0 / 3) - 1 END) AS cagr_3y
   FROM fin_long WINDOW w AS (PARTITION BY symbol, line_item ORDER BY period)""")
 def q_growth(m):
-    df = st.growth_metrics(st.unpivot_statements(m.financials_wide, YEARS))
+    df = st.growth_metrics(st.unpivot_statements(m.financials_wide, m.years))
     return df.select("symbol", "line_item", "period", "value", r6("yoy").alias("yoy"), r6("cagr_3y").alias("cagr_3y"))

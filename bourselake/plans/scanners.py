@@ -176,7 +176,7 @@ def q_shift(m):
 
 add_view("s_leaders", "features cal_t today", f"""
 WITH r AS (SELECT f.*, ago, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY f.date DESC) AS k FROM features f JOIN cal_t ON f.date = cal_t.date AND ago <= 90),
-top AS (SELECT symbol FROM r WHERE k <= 20 GROUP BY symbol ORDER BY AVG(close * volume) DESC, symbol LIMIT 120),
+top AS (SELECT symbol FROM r WHERE k <= 20 GROUP BY symbol ORDER BY AVG(close * volume) DESC, symbol),
 base AS (SELECT symbol, date, ret_1d FROM r WHERE symbol IN (SELECT symbol FROM top)),
 mv AS (SELECT symbol AS leader, ret_1d AS leader_ret FROM today WHERE ABS(ret_1d) >= 0.015 AND symbol IN (SELECT symbol FROM top) ORDER BY ABS(ret_1d) DESC, symbol LIMIT 6),
 ord AS (SELECT date, LEAD(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM base)),
@@ -232,7 +232,7 @@ add_view("monthly_t", "bars", f"SELECT symbol, CAST(DATE_TRUNC('month', date) AS
 add_view("season_t", "monthly_t", """SELECT symbol, MONTH(month) AS month_num, AVG(r) AS mean_ret, COUNT(r) AS sample_count, AVG(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS win_rate
   FROM (SELECT symbol, month, close / LAG(close) OVER (PARTITION BY symbol ORDER BY month) - 1 AS r FROM monthly_t) GROUP BY 1, 2""")
 add_view("s_calendar", "season_t today", f"""
-WITH s AS (SELECT * FROM season_t WHERE month_num = MONTH({ON}) AND sample_count >= 4 AND mean_ret >= 0.005 AND win_rate >= 0.6 ORDER BY mean_ret DESC, symbol LIMIT 20)
+WITH s AS (SELECT * FROM season_t WHERE month_num = MONTH({ON}) AND sample_count >= 4 AND mean_ret >= 0.005 AND win_rate >= 0.6)
 SELECT s.symbol, R2(C01(mean_ret / 0.1) * 45 + C01(win_rate) * 30 + COALESCE(C01(rs_rank_pct) * 15, 0) + C01(rel_volume / 2.5) * 10) AS priority_score, mean_ret, win_rate, sample_count
 FROM s JOIN today USING (symbol) ORDER BY 2 DESC, 1 LIMIT 3""")
 

@@ -218,19 +218,21 @@ def q_metrics(m):
                      r6("avg_delivery_pct").alias("avg_delivery_pct"))
 
 
-add_view("ratios", "financials_wide", """SELECT symbol, SUM(y1999) / NULLIF(SUM(y1996), 0) * 20 AS roce_pct,
-  SUM(CASE WHEN line_item = 'R' THEN y1999 ELSE 0 END) / NULLIF(SUM(y1999), 0) AS debt_to_equity,
-  (SUM(y1999) / NULLIF(SUM(y1998), 0) - 1) * 100 AS sales_growth_5y FROM financials_wide GROUP BY symbol""")
+add_view("ratios", "financials_wide", """SELECT symbol, SUM(y2001) / NULLIF(SUM(y1998), 0) * 20 AS roce_pct,
+  SUM(CASE WHEN line_item = 'R' THEN y2001 ELSE 0 END) / NULLIF(SUM(y2001), 0) AS debt_to_equity,
+  (SUM(y2001) / NULLIF(SUM(y2000), 0) - 1) * 100 AS sales_growth_5y FROM financials_wide GROUP BY symbol""")
 
 
 def ratios(m):
-    """Three fundamental ratios per symbol from the wide statements."""
+    """Three fundamental ratios per symbol from the wide statements: newest year against the one and three before."""
+    newest, before, third = (f"y{max(m.years[0], m.years[-1] - back)}" for back in (0, 1, 3))
+
     def debt():
-        return F.sum(F.when(F.col("line_item") == "R", F.col("y1999")).otherwise(0.0))
+        return F.sum(F.when(F.col("line_item") == "R", F.col(newest)).otherwise(0.0))
     return m.financials_wide.groupBy("symbol").agg(
-        (safe_div(F.sum("y1999"), F.sum("y1996")) * 20).alias("roce_pct"),
-        safe_div(debt(), F.sum("y1999")).alias("debt_to_equity"),
-        ((safe_div(F.sum("y1999"), F.sum("y1998")) - 1) * 100).alias("sales_growth_5y"))
+        (safe_div(F.sum(newest), F.sum(third)) * 20).alias("roce_pct"),
+        safe_div(debt(), F.sum(newest)).alias("debt_to_equity"),
+        ((safe_div(F.sum(newest), F.sum(before)) - 1) * 100).alias("sales_growth_5y"))
 
 
 add_view("uni_flags", "uni_metrics ratios", """

@@ -54,10 +54,13 @@ SELECT doc_id AS news_id, SPLIT_PART(text, chr(10), 1) AS title, text AS body, s
 FROM documents"""),
     "financials_wide": ((), """
 SELECT p.p_brand AS symbol, l.l_returnflag AS line_item,
+       SUM(CASE WHEN YEAR(l.l_shipdate) = 1995 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1995,
        SUM(CASE WHEN YEAR(l.l_shipdate) = 1996 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1996,
        SUM(CASE WHEN YEAR(l.l_shipdate) = 1997 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1997,
        SUM(CASE WHEN YEAR(l.l_shipdate) = 1998 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1998,
-       SUM(CASE WHEN YEAR(l.l_shipdate) = 1999 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1999
+       SUM(CASE WHEN YEAR(l.l_shipdate) = 1999 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y1999,
+       SUM(CASE WHEN YEAR(l.l_shipdate) = 2000 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y2000,
+       SUM(CASE WHEN YEAR(l.l_shipdate) = 2001 THEN l.l_quantity ELSE CAST(0 AS DOUBLE) END) AS y2001
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2"""),
 }
 

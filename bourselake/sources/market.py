@@ -39,6 +39,7 @@ class Market:
         line = self.table("lineitem").select(
             "l_partkey", F.to_date("l_shipdate").alias("date"), "l_quantity", "l_discount",
             "l_tax", (F.col("l_returnflag") == "N").cast("double").alias("is_new"))
+        """Quantities per symbol and line item, one column per year of the data."""
         part = self.table("part").select("p_partkey", F.col("p_brand").alias("symbol"))
         daily = (line.join(part, F.col("l_partkey") == F.col("p_partkey"))
                  .groupBy("symbol", "date")
@@ -120,6 +121,7 @@ class Market:
 
     @cached_property
     def financials_wide(self) -> DataFrame:
+        """Quantities per symbol and line item, one column per year of the data."""
         part = self.table("part").select("p_partkey", F.col("p_brand").alias("symbol"))
         year = F.year("l_shipdate")
         return (self.table("lineitem")
@@ -127,4 +129,11 @@ class Market:
                 .join(part, F.col("l_partkey") == F.col("p_partkey"))
                 .groupBy("symbol", F.col("l_returnflag").alias("line_item"))
                 .agg(*[F.sum(F.when(F.col("y") == y, F.col("l_quantity")).otherwise(0.0))
-                       .alias(f"y{y}") for y in (1996, 1997, 1998, 1999)]))
+                       .alias(f"y{y}") for y in self.years]))
+
+    @cached_property
+    def years(self) -> tuple[int, ...]:
+        """All years from the first to the last line item."""
+        year = F.year("l_shipdate")
+        first, last = self.table("lineitem").agg(F.min(year), F.max(year)).first()
+        return tuple(range(first, last + 1)) if first else ()
