@@ -1,7 +1,7 @@
 """Influence and dependency graphs as edge tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourselake.functions import lagged, safe_div
@@ -64,37 +64,65 @@ def bellwethers(edges: DataFrame, k: int | None = None) -> DataFrame:
 CONFIDENCE = ("low", "medium", "high")
 
 
+def confidence_rank() -> Column:
+    return sum((F.when(F.col("confidence") == c, i + 1).otherwise(0) for i, c in enumerate(CONFIDENCE)), F.lit(0))
+
+
 def merge_relations(relations: DataFrame) -> DataFrame:
-    """One edge per (src, dst, relation): all evidence, best confidence, last stated strength.
+    """One edge per (src, dst, relation): evidence counted, best confidence, last stated strength.
 
-    `seq` orders the deliveries. Evidence stays in rows (edge_evidence); the edge counts it.
+    `seq` orders the deliveries. The evidence itself stays in rows, see `edge_evidence`.
     """
-    rank = sum((F.when(F.col("confidence") == c, i + 1).otherwise(0) for i, c in enumerate(CONFIDENCE)),
-               F.lit(0))
     merged = relations.groupBy("src", "dst", "relation").agg(
-        F.count("*").alias("n_evidence"), F.max(rank).alias("_rank"),
+        F.count("*").alias("n_evidence"), F.max(confidence_rank()).alias("_rank"),
         F.max_by("strength", F.when(F.col("strength").isNotNull(), F.col("seq"))).alias("strength"))
     label = F.element_at(F.array(*[F.lit(c) for c in CONFIDENCE]), F.col("_rank"))
     return merged.withColumn("confidence", label).drop("_rank")
 
 
+def edge_evidence(relations: DataFrame) -> DataFrame:
+    """Every piece of evidence next to its merged edge, one row each: an edge may have any number of them."""
+    key = ["src", "dst", "relation"]
+    return relations.select(*key, "evidence").join(merge_relations(relations), key)
+
+
+def incident(edges: DataFrame) -> DataFrame:
+    """Each edge seen from both of its ends: src is the end it is seen from."""
+    rest = ["relation", "strength", "confidence"]
+    return edges.select("src", "dst", *rest).unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+
+
+def strongest(edges: DataFrame, breadth: int) -> DataFrame:
+    """The first `breadth` edges of each node by strength (none counts as 0), then confidence."""
+    order = [F.desc(F.coalesce("strength", F.lit(0))), F.desc(confidence_rank()), "dst", "relation"]
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+    return edges.withColumn("_k", rank).filter(F.col("_k") <= breadth).drop("_k")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, breadth: int = 5) -> DataFrame:
-    """Breadth-first expansion: each level follows the strongest `breadth` edges per node.
+    """Breadth-first expansion: each level follows the first `breadth` edges per node.
 
-    `edges(src, dst, strength)` is directed; the visited set is cut from its lineage per level.
+    `edges(src, dst, relation, strength, confidence)` is directed; the visited set is cut from its lineage per level.
     """
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc_nulls_last("strength"), "dst"))
-    strongest = edges.withColumn("_k", rank).filter(F.col("_k") <= breadth).select("src", "dst")
+    followed = strongest(edges, breadth).select("src", "dst")
     visited = seeds.select("node", F.lit(0).alias("level"))
     frontier = visited
     for level in range(1, depth + 1):
-        reached = (frontier.join(strongest, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
+        reached = (frontier.join(followed, F.col("node") == F.col("src")).select(F.col("dst").alias("node"))
                    .distinct().join(visited.select("node"), "node", "left_anti"))
         frontier = cut_lineage(reached.withColumn("level", F.lit(level)))
         visited = visited.unionByName(frontier)
     return visited
 
 
+def expanded_edges(edges: DataFrame, nodes: DataFrame, depth: int = 2, breadth: int = 5) -> DataFrame:
+    """The edges an expansion saw: those it followed below the last level, and all edges of the last level's nodes."""
+    at = F.col("node") == F.col("src")
+    inner = strongest(edges, breadth).join(nodes.filter(F.col("level") < depth), at)
+    return inner.unionByName(edges.join(nodes.filter(F.col("level") == depth), at)).drop("node")
+
+
 def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK", blocks: int = 4,
                    chunks: int = 4) -> DataFrame:
     """Company pairs a < b that share a person, with the number shared.

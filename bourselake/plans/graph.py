@@ -67,7 +67,8 @@ def relations(m: Market):
         F.when(F.col("l_returnflag") == "N", "SUPPLIER_OF").when(F.col("l_returnflag") == "R", "CUSTOMER_OF").otherwise("PEER_OF").alias("relation"),
         F.when(F.col("l_discount") <= 0.05, F.col("l_quantity")).alias("strength"),
         F.when(F.col("l_tax") > 0.05, "high").when(F.col("l_tax") > 0.02, "medium").otherwise("low").alias("confidence"),
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"))
+        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"),
+        F.concat_ws("-", F.lit("line"), "l_orderkey", "l_linenumber").alias("evidence"))
 
 
 add_view("merged", "relations", """SELECT src, dst, relation, COUNT(*) AS n_evidence, MAX(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS cr,
@@ -79,21 +80,38 @@ def q_merge(m):
     return graph.merge_relations(relations(m))
 
 
-add_view("both_ways", "merged", "SELECT src, dst, MAX(strength) AS strength FROM (SELECT src, dst, strength FROM merged UNION ALL SELECT dst, src, strength FROM merged) GROUP BY 1, 2")
-add_view("strongest", "both_ways", "SELECT src, dst FROM both_ways QUALIFY ROW_NUMBER() OVER (PARTITION BY src ORDER BY strength DESC NULLS LAST, dst) <= 5")
+@query("relation_evidence", "merged relations", """SELECT src, dst, relation, CONCAT_WS('-', 'line', l_orderkey, l_linenumber) AS evidence, n_evidence, m.strength,
+  CASE cr WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM relations r JOIN merged m USING (src, dst, relation)""")
+def q_evidence(m):
+    return graph.edge_evidence(relations(m))
 
 
-@query("graph_bfs", "strongest", """
+add_view("both_ways", "merged", "SELECT src, dst, relation, strength, cr FROM merged UNION ALL SELECT dst, src, relation, strength, cr FROM merged")
+add_view("strongest", "both_ways", """SELECT * FROM both_ways
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY src ORDER BY COALESCE(strength, 0) DESC, cr DESC, dst, relation) <= 5""")
+add_view("bfs_nodes", "strongest", """
 WITH l0 AS (SELECT 'Brand#1' AS node), l1 AS (SELECT DISTINCT dst AS node FROM strongest WHERE src IN (SELECT node FROM l0) AND dst NOT IN (SELECT node FROM l0)),
 v1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1), l2 AS (SELECT DISTINCT dst AS node FROM strongest WHERE src IN (SELECT node FROM l1) AND dst NOT IN (SELECT node FROM v1)),
 v2 AS (SELECT * FROM v1 UNION ALL SELECT * FROM l2), l3 AS (SELECT DISTINCT dst AS node FROM strongest WHERE src IN (SELECT node FROM l2) AND dst NOT IN (SELECT node FROM v2))
 SELECT node, 0 AS level FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3""")
+
+
+def seed(m: Market):
+    return m.constituents.filter("symbol = 'Brand#1'").select(F.col("symbol").alias("node")).distinct()
+
+
+@query("graph_bfs", "bfs_nodes", "SELECT node, level FROM bfs_nodes")
 def q_bfs(m):
-    one_way = graph.merge_relations(relations(m)).select("src", "dst", "strength")
-    both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
-    both = both.groupBy("src", "dst").agg(F.max("strength").alias("strength"))
-    seeds = m.constituents.filter("symbol = 'Brand#1'").select(F.col("symbol").alias("node")).distinct()
-    return graph.expand(both, seeds, depth=3)
+    return graph.expand(graph.incident(graph.merge_relations(relations(m))), seed(m), depth=3)
+
+
+@query("graph_bfs_edges", "both_ways strongest bfs_nodes", """
+WITH e AS (SELECT s.*, level FROM strongest s JOIN bfs_nodes ON node = src WHERE level < 3
+  UNION ALL SELECT b.*, level FROM both_ways b JOIN bfs_nodes ON node = src WHERE level = 3)
+SELECT src, dst, relation, strength, CASE cr WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence, level FROM e""")
+def q_bfs_edges(m):
+    edges = graph.incident(graph.merge_relations(relations(m)))
+    return graph.expanded_edges(edges, graph.expand(edges, seed(m), depth=3), depth=3)
 
 
 def boards(m: Market):
