@@ -123,16 +123,15 @@ def expanded_edges(edges: DataFrame, nodes: DataFrame, depth: int = 2, breadth:
     return inner.unionByName(edges.join(nodes.filter(F.col("level") == depth), at)).drop("node")
 
 
-def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK", blocks: int = 4,
-                   chunks: int = 4) -> DataFrame:
+def shared_members(membership: DataFrame, relation: str = "BOARD_INTERLOCK") -> DataFrame:
     """Company pairs a < b that share a person, with the number shared.
 
     `membership(company, person)`. Shared persons are counted as a matrix product over blocks of
-    companies and chunks of persons, so a person on very many boards emits no pair rows.
+    companies and chunks of persons, both of bounded size, so a person on very many boards emits no pair rows.
     """
     seats = membership.select(F.col("company").alias("symbol"), F.col("person").alias("date"),
                               F.lit(1.0).alias("seat")).distinct()
-    shared = pair_moments(seats, "seat", blocks, chunks=chunks)
+    shared = pair_moments(seats, "seat", split=True)
     return shared.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n").alias("n_shared"),
                          F.lit(relation).alias("relation"))
 

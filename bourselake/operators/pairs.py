@@ -1,8 +1,8 @@
 """All-pairs statistics without pair rows: symbols are cut into hash blocks, every pair of
 blocks is one task, and the moments of a block pair are matrix products inside the task.
 
-A task holds two blocks of series (2 * symbols / blocks), never the whole universe, and emits one
-row per pair at most. Raise `blocks` with the universe; a few hundred symbols per block is plenty.
+A task holds two blocks of series, never the whole universe, and emits one row per pair at most. The
+number of blocks follows the universe: BLOCK names each on average, unless a number is given.
 """
 from __future__ import annotations
 
@@ -10,19 +10,28 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOMENTS = ("a string, b string, n bigint, sx double, sy double, sxx double, syy double, "
            "sxy double")
+#: Names per block and row keys per chunk, on average.
+BLOCK, CHUNK = 256, 4096
 
 
-def _spread_over_blocks(df: DataFrame, value: str, blocks: int, chunks: int = 1) -> DataFrame:
-    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+def parts_of(df: DataFrame, name: str, size: int) -> Column:
+    """How many parts of `size` the distinct values of a column make, as a scalar subquery; 1 for none."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct(name) / size)).cast("int").alias("n")).scalar()
+
+
+def _spread_over_blocks(df: DataFrame, value: str, blocks: int | None, split: bool = False) -> DataFrame:
+    whole = df
+    blocks = F.lit(blocks) if blocks else parts_of(whole, "symbol", BLOCK)
+    own = F.pmod(F.xxhash64("symbol"), blocks).cast("int")
     df = df.filter(F.col(value).isNotNull()).select(
         "symbol", "date", F.col(value).cast("double").alias("v"), own.alias("own"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    chunk = F.pmod(F.xxhash64("date"), F.lit(chunks)).cast("int") if chunks > 1 else F.lit(0)
+    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    chunk = F.pmod(F.xxhash64("date"), parts_of(whole, "date", CHUNK)).cast("int") if split else F.lit(0)
     return (df.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
             .withColumn("chunk", chunk))
 
@@ -36,11 +45,11 @@ def _matrices(pdf: pd.DataFrame):
     return wide, left, right
 
 
-def pair_moments(df: DataFrame, value: str, blocks: int = 8, with_self: bool = False, chunks: int = 1) -> DataFrame:
+def pair_moments(df: DataFrame, value: str, blocks: int | None = None, with_self: bool = False, split: bool = False) -> DataFrame:
     """Counts, sums and cross products over shared dates for every pair a < b (or a <= b).
 
-    With `chunks` the rows of a block pair are split by hash as well, and the partial moments of a
-    pair are added up; use it where the row axis is not a calendar.
+    With `split` the rows of a block pair are split by hash into chunks as well, and the partial moments
+    of a pair are added up; use it where the row axis is not a calendar.
     """
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
         wide, left, right = _matrices(pdf)
@@ -65,8 +74,8 @@ def pair_moments(df: DataFrame, value: str, blocks: int = 8, with_self: bool = F
             keep = n > 0
         return out[keep]
 
-    parts = _spread_over_blocks(df, value, blocks, chunks).groupBy("p", "q", "chunk").applyInPandas(gram, MOMENTS)
-    if chunks == 1:
+    parts = _spread_over_blocks(df, value, blocks, split).groupBy("p", "q", "chunk").applyInPandas(gram, MOMENTS)
+    if not split:
         return parts
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
@@ -91,7 +100,7 @@ def last_dates(df: DataFrame, n: int, target) -> DataFrame:
     return dates.withColumn("ago", rank).filter(F.col("ago") <= n)
 
 
-def average_pair_correlation(returns: DataFrame, blocks: int = 8, least: int = 5) -> DataFrame:
+def average_pair_correlation(returns: DataFrame, blocks: int | None = None, least: int = 5) -> DataFrame:
     """Mean off-diagonal correlation over the given dates, pairs sharing at least `least`."""
     pairs = with_correlation(pair_moments(returns, "ret_1d", blocks), least)
     return pairs.agg(F.avg("corr").alias("avg_pair_corr"), F.count("corr").alias("n_pairs"))
@@ -101,7 +110,7 @@ SPREAD = ("a string, b string, n bigint, hedge_ratio double, intercept double, h
           "df_t double")
 
 
-def pair_spread_stats(df: DataFrame, value: str, blocks: int = 8, least: int = 60) -> DataFrame:
+def pair_spread_stats(df: DataFrame, value: str, blocks: int | None = None, least: int = 60) -> DataFrame:
     """Hedge ratio of a on b, half-life of the spread and its Dickey-Fuller t statistic."""
     def stats(pdf: pd.DataFrame) -> pd.DataFrame:
         wide, left, right = _matrices(pdf)

@@ -115,13 +115,13 @@ def q_bfs_edges(m):
 
 
 def boards(m: Market):
-    """Suppliers of large lots sit on the boards of the symbols they deliver to."""
-    line = m.table("lineitem").filter("l_quantity >= 49").join(m.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Suppliers sit on the boards of the symbols they deliver to."""
+    line = m.table("lineitem").join(m.table("part"), F.col("l_partkey") == F.col("p_partkey"))
     return line.select(F.col("p_brand").alias("company"), F.col("l_suppkey").alias("person"))
 
 
 BOARD = """
-WITH b AS (SELECT DISTINCT p_brand AS company, l_suppkey AS person FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)
+WITH b AS (SELECT DISTINCT p_brand AS company, l_suppkey AS person FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.company AS src, b.company AS dst, COUNT(*) AS n_shared{extra} FROM b a JOIN b ON a.person = b.person AND a.company < b.company GROUP BY 1, 2"""
 
 
