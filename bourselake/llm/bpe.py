@@ -86,6 +86,7 @@ class Coder:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         size = self.slow.get_vocab_size()
         self.names = [str(i) for i in range(size)]
+        self.packed = "<u2" if size <= 1 << 16 else "<u4"
         self.bytes: list[bytes] | None = None
         if self.fast:
             known = {i: b for b, i in table.items()}
@@ -97,6 +98,13 @@ class Coder:
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    def pack(self, ids: list[int]) -> bytes:
+        """Ids in two bytes each if the vocabulary fits, else four."""
+        return np.array(ids, dtype=self.packed).tobytes()
+
+    def unpack(self, raw: bytes) -> list[int]:
+        return np.frombuffer(raw, self.packed).tolist()
+
     def decode(self, ids: list[int]) -> bytes:
         if self.bytes is None:
             return self.slow.decode(ids, skip_special_tokens=False).encode()
@@ -173,7 +181,7 @@ def bpe(docs: DataFrame, path: str, ranks: str | None = None, pattern: str = "",
     def encode_cores(batches):
         own = coder(*args)
         for batch in batches:
-            ids = [np.array(own.encode(c.decode()), dtype="<u4").tobytes() for c in batch.column("core").to_pylist()]
+            ids = [own.pack(own.encode(c.decode())) for c in batch.column("core").to_pylist()]
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "ids": pa.array(ids, pa.binary())})
 
     coded = written(once.mapInArrow(encode_cores, "key binary, ids binary"))
@@ -188,9 +196,9 @@ def bpe(docs: DataFrame, path: str, ranks: str | None = None, pattern: str = "",
             for doc, between, cores in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "cores"))):
                 ids: list[int] = []
                 for k, part in enumerate(between):
-                    ids += np.frombuffer(part, "<u4").tolist()
+                    ids += own.unpack(part)
                     if k < len(cores):
-                        ids += np.frombuffer(cores[k], "<u4").tolist()
+                        ids += own.unpack(cores[k])
                 n, a, b = own.digest(ids)
                 rows.append({"doc_id": doc, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
@@ -216,5 +224,5 @@ def segments_of(own: Coder, doc: int | None, data: bytes, shared: list[tuple[int
         start = b
     between.append(data[start:])
     return {"doc_id": doc, "n_tokens": None, "ids_sha256": None, "decoded_sha256": None,
-            "own": [np.array(own.encode(p.decode()), dtype="<u4").tobytes() for p in between],
+            "own": [own.pack(own.encode(p.decode())) for p in between],
             "refs": [{"key": k, "core": data[a:b]} for a, b, k in shared]}
