@@ -62,6 +62,21 @@ def least_reachable(rows: list[tuple[int | None, str]]) -> list[int | None]:
     return [min((d for d in groups[find(i)] if d is not None), default=None) for i in range(len(rows))]
 
 
+def near_copies(rows: list[tuple[int | None, str | None]]) -> list[int | None]:
+    """One id of each component of pairs with 5-word Jaccard similarity 0.8 or more: the smallest, null where there is no other."""
+    sets = []
+    for _, text in rows:
+        w = words(low(text or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and 10 * len(a & b) >= 8 * len(a | b):
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return [min((d for (d, _), h in zip(rows, group) if h == g and d is not None), default=None) for g in set(group)]
+
+
 def base_lm(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     tokens = [[*words(low(t or "")), None] for _, t in rows]
     seen = Counter(w for (d, _), ts in zip(rows, tokens) if fold(d) != 1 for w in ts)

@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import brute  # noqa: E402
-from bourselake.llm import bpe, chat, decontam, licenses, lm, pii, quality, secret_scan, simhash, toxicity  # noqa: E402
+from bourselake.llm import bpe, chat, decontam, licenses, lm, pii, quality, secret_scan, shingles, simhash, toxicity  # noqa: E402
 from bourselake.llm.common import prefix_sums  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -103,6 +103,32 @@ def test_simhash_links_inside_large_values(spark):
     assert [roots.get(p, p) for p in prints] == want
 
 
+@pytest.mark.parametrize("hot", [64, 3])
+def test_near_copies_by_shingles(spark, docs, rows, none, hot):
+    """The near_dedup stage of the pipeline against all pairs."""
+    import corpus_pipeline
+    seed = random.Random(7)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("a", "en", "ot", "ur", "is")]
+    made = []
+    for _ in range(12):
+        base = seed.choices(vocabulary, k=seed.randrange(4, 90))
+        for _ in range(9):
+            copy = list(base)
+            for _ in range(seed.randrange(5)):
+                copy[seed.randrange(len(copy))] = f"new{seed.randrange(400)}"
+            made.append((100 + len(made), " ".join(copy + seed.choices(vocabulary, k=seed.randrange(3)))))
+    every = [*made, *rows]
+    want = brute.near_copies(every)
+    table = spark.createDataFrame(every, "doc_id long, text string").select(
+        "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")).repartition(3)
+    got = shingles.deduplicated(table, hot=hot)
+    assert sorted_rows(got.select("doc_id"), "doc_id") == sorted(((d,) for d in want), key=repr)
+    assert len(made) > sum(d is not None and d >= 100 for d in want) > 12 and shingles.deduplicated(none).count() == 0
+    if hot == 64:
+        staged = dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "")
+        assert sorted_rows(staged.select("doc_id"), "doc_id") == sorted(((d,) for d in want), key=repr)
+
+
 def test_lm(docs, rows, none):
     got = sorted((tuple(r) for r in lm.lm_scores(docs, table_words=40).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4)).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in sorted(((d, *b[:4], round(b[4], 4)) for (d, _), b in zip(rows, brute.base_lm(rows))), key=repr)]
