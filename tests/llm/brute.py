@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import xxhash
 
@@ -130,3 +132,92 @@ def leaks(text: str | None, items: list[tuple[str, str | None]]) -> tuple:
                     hit |= set(range(i, i + size))
                     found.add(item)
     return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+def runs(w: list[str]) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all stretches with smallest period q and at least max(6, 4 q) words."""
+    best: dict[tuple[int, int], int] = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                best.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted(((s, n, q) for (s, n), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text: str | None, plant: bool = True) -> tuple:
+    w = words(text)
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if plant and h % 10 == 0 and w:
+        g = h // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    found = runs(w)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    top = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    return (len(found), *(top or (None,) * 3), top and 1000 * top[1] // top[2], sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
+            sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def top_scores(rows: list[tuple[int | None, list | None]], step: int = 50, k: int = 5) -> list[tuple]:
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in whole if i is not None and i % step == 0}):
+        found = [(-sum(a * b for a, b in zip(v, x)), i is None, i or 0, i) for j, v in whole if j == q for i, x in whole if i != q]
+        out += [(q, n + 1, i, -s) for n, (s, _, _, i) in enumerate(sorted(found, key=lambda r: r[:3])[:k])]
+    return out
+
+
+def damage(rows: list[tuple]) -> list[tuple]:
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        what = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if what == 1 else re.sub("[.!?]", "", text) if what == 2 else text
+        out += [(conv, turn, "user" if what == 4 else role, text)] * (0 if what == 0 else 2 if what == 3 else 1)
+    return out
+
+
+def repaired(rows: list[tuple]) -> dict:
+    """conv_id to its result, by a search over rows read and state, cheapest and then least edits first."""
+    out = {}
+    after = damage(rows)
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in after if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+        faults, seen = [], set()
+        for _, _, role, text in own:
+            last = re.sub(BLANK, "", text)[-1:]
+            faults.append("b" if not last else "d" if (role, text) in seen else "t" if last not in ".!?" else "")
+            seen.add((role, text))
+        turns = {r[1] for r in own if r[1] is not None}
+        roles = [r[2][:1] for r in own]
+        given = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+        heap, done = [(0, "", 0, "", ())], set()
+        while heap:
+            cost, audit, i, state, lines = heapq.heappop(heap)
+            if i == len(own) and state in ("", "a"):
+                break
+            if (i, state) in done:
+                continue
+            done.add((i, state))
+            new = given[state]
+            heapq.heappush(heap, (cost + 2, audit + "I", i, new[0], (*lines, new + ":")))
+            if i < len(own):
+                _, _, role, text = own[i]
+                heapq.heappush(heap, (cost + 3, audit + "D", i + 1, state, lines))
+                if faults[i] not in ("b", "d"):
+                    more = faults[i] == "t"
+                    heapq.heappush(heap, (cost + 2 + more, audit + "R", i + 1, new[0], (*lines, f"{new}:{text}")))
+                    if role[:1] in {"": ("s", "u"), "s": ("u",), "u": ("a",), "a": ("u",)}[state]:
+                        heapq.heappush(heap, (cost + more, audit + "K", i + 1, role[:1], (*lines, f"{role}:{text}")))
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, faults.count("b"), faults.count("d"), faults.count("t"),
+                     sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:])), cost, audit, sha("\n".join(lines)))
+    return out

@@ -17,7 +17,7 @@ RUNS, SQL = queries.queries(), queries.oracle_sql()
 
 
 def test_names():
-    assert [n for n in RUNS if n.startswith("op")] and len(RUNS) == 11 and set(SQL) <= set(RUNS)
+    assert [n for n in RUNS if n.startswith("op")] and len(RUNS) == 14 and set(SQL) <= set(RUNS)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
