@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,25 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts with at most `size` bytes together, one text at least: what a worker holds as objects."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        n = n or 0
+        if held and held + n > size:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(texts) > start:
+        yield start, len(texts)
+
+
+def raw_texts(texts: pa.Array) -> Iterator[bytes | None]:
+    """The texts as bytes, made piece by piece."""
+    for low, high in pieces(texts):
+        yield from texts.slice(low, high - low).cast(pa.binary()).to_pylist()
+
+
 def words_of(text: Column) -> Column:
     """Words between white space."""
     return F.array_remove(F.split(text, f"[{BLANK}]+"), "")

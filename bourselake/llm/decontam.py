@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourselake.llm.common import raw_texts
 from bourselake.session import cut_lineage
 
 WINDOW = 10
@@ -75,7 +76,7 @@ def matcher(items: list[tuple[str, str | None]]):
     @F.arrow_udf(KIND)
     def match(texts: pa.Array) -> pa.Array:
         rows = []
-        for raw in texts.cast(pa.binary()).to_pylist():
+        for raw in raw_texts(texts):
             words = words_in(raw)
             hit: set[int] = set()
             found: set[str] = set()

@@ -12,11 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import text_of
+from bourselake.llm.common import pieces, text_of
 
 FEWEST = 6  # words of a run
 TIMES = 4  # periods of a run
-SLICE = 4 << 20  # bytes of text worked on at once, one text at least
 SCHEMA = ("doc_id {id}, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string, "
           "runs array<struct<start:long,length:long,period:long>>, collapsed string")
 
@@ -269,18 +268,6 @@ def described(texts: pa.Array, keys: list[bytes] | None) -> Iterator[dict]:
                "exponent_milli": best[1] * 1000 // best[2] if triples else None, "runs": triples, "collapsed": collapsed[t]}
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of neighbouring texts with at most SLICE bytes together, one text at least."""
-    start, held = 0, 0
-    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
-        if held and held + size > SLICE:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if len(texts) > start:
-        yield start, len(texts)
-
-
 def periodic_runs(docs: DataFrame, plant: bool = False, whole: bool = False) -> DataFrame:
     """One row per row of `docs` (doc_id, text): its runs of repeated words, and digests of them and of the text without repeats.
 
@@ -296,7 +283,7 @@ def periodic_runs(docs: DataFrame, plant: bool = False, whole: bool = False) ->
     def work(batches):
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("doc_id")
-            for low, high in slices(texts):
+            for low, high in pieces(texts):
                 own = doc_ids.slice(low, high - low)
                 keys = [b"" if d is None else str(d).encode() for d in own.to_pylist()] if plant else None
                 rows = list(described(texts.slice(low, high - low), keys))

@@ -16,7 +16,7 @@ PATTERNS = {
 }
 #: A text without this has no match of the kind.
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"[\p{L}\p{M}]{4,}+"
+TERM = r"[\p{L}\p{M}]{2,}+"
 
 
 def digits(value: Column) -> Column:
@@ -54,59 +54,88 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def terms_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    """Distinct letter runs in lower case; those inside a mail address are part of the value and do not count."""
+    outside = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, reach: int, support: int, threshold: float, bits: int) -> DataFrame:
-    """(text_key, terms): for the texts that mention a recurring protected value, the terms that disclose it.
+def entities_of() -> Column:
+    """What a text protects: the kinds it mentions, groups of values (mail domain, network, issuer, dialling prefix), and values."""
+    groups = {"email": lambda v: F.substring_index(v, "@", -1), "ip": lambda v: F.substring_index(v, ".", 2),
+              "card": lambda v: F.left(digits(v), F.lit(6)), "phone": lambda v: F.left(digits(v), F.lit(4))}
+    def of(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.array(F.lit(kind), F.concat(F.lit(f"{kind}-group:"), F.lower(groups[kind](s["value"]))),
+                                                          F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))))
 
-    All counts are over distinct texts of the whole corpus. A term is counted with a value when it stands within `reach`
-    code points of a mention, so the rows grow with the mentions. Disclosure is pointwise mutual information over the
-    information of the value: log(n_te n / (n_t n_e)) / log(n / n_e); 1 means that the term occurs with the value only.
+    found = [of(kind) for kind in PATTERNS]
+    return F.array_distinct(F.flatten(F.concat(*found)))
+
+
+def disclosing_terms(once: DataFrame, docs: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """(text_key, terms): for the texts that protect something, the terms that disclose it.
+
+    All counts are documents of the whole corpus: n, with an entity n_e, with a term n_t, with both n_te. Disclosure is the
+    pointwise mutual information, less what chance may add to it, over the information of the entity:
+    log(n_te n / (n_t n_e) (1 - 1 / sqrt(d))) / log(n / n_e), where d counts the distinct texts with both. At 1 the term
+    stands with the entity only. A pair goes on only if its best value passes, with n_t at least the documents with the term
+    among those that protect something; so words of all kinds of text stop before the corpus is counted.
     """
-    mention = found.select("text_key", "text", F.explode(tagged(PATTERNS, F.col, lambda kind, n, s: F.struct(
-        F.concat(F.lit(kind + ":"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))).alias("m"))
-    around = F.concat(F.substr("text", F.greatest(F.col("m.start") - reach + 1, F.lit(1)), F.least(F.col("m.start"), F.lit(reach))),
-                      F.lit("\n"), F.substr("text", F.col("m.end") + 1, F.lit(reach)))
-    mention = mention.select("text_key", "m.entity", around.alias("around"))
-    recurring = written(mention.groupBy("entity").agg(F.count_distinct("text_key").alias("n_e")).where(F.col("n_e") >= support))
-    near = mention.join(recurring.select("entity"), "entity").select("text_key", "entity", F.explode(terms_of(F.col("around"))).alias("term"))
-    together = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    together = written(together)
-    # one bit per hashed term in a table of fixed size: words that cannot be candidates stop before the shuffle
+    n = docs.count()
+    held = once.select("text_key", "copies", entities_of().alias("entities"), terms_of(F.col("text")).alias("terms"))
+    pairs = held.select("copies", F.explode("entities").alias("entity"), "terms").select("copies", "entity", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("d")).where("d > 1")
+    known = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("d")).where("d > 1")
+    least = held.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_p"))
+
+    def discloses(n_t: str) -> Column:
+        chance = 1 - 1 / F.sqrt("d")
+        whole = F.log(F.lit(float(n)) / F.col("n_e"))
+        return (F.col("n_e") < n) & (F.log(F.col("n_te") * F.lit(float(n)) / (F.col(n_t) * F.col("n_e")) * chance) >= threshold * whole)
+
+    hopeful = together.join(known.drop("d"), "entity").where(discloses("n_te")).join(least, "term").where(discloses("n_p")).drop("n_p")
+    hopeful = written(hopeful)
+    maybe = among(hopeful, bits)
+    if maybe is None:
+        return once.select("text_key", F.array().cast("array<string>").alias("terms")).where("false")
+    counted = docs.select(F.explode(F.filter(terms_of(text_of("text")), maybe)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    told = written(hopeful.join(counted, "term").where(discloses("n_t")).select("entity", "term"))
+    chosen = among(told, bits)
+    if chosen is None:
+        return once.select("text_key", F.array().cast("array<string>").alias("terms")).where("false")
+    near = held.select("text_key", "entities", F.explode(F.filter("terms", chosen)).alias("term")).select("text_key", "term", F.explode("entities").alias("entity"))
+    return near.join(told, ["entity", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def among(rows: DataFrame, bits: int):
+    """Column function: whether a term may be one of the rows, by a bit per hash in a table of fixed size; None without rows."""
     h = F.pmod(F.xxhash64("term"), F.lit(bits))
-    flags = {r["w"]: r["b"] for r in together.select(F.floor(h / 64).cast("int").alias("w"), (h % 64).cast("int").alias("b")).groupBy("w").agg(
+    flags = {r["w"]: r["b"] for r in rows.select(F.floor(h / 64).cast("int").alias("w"), (h % 64).cast("int").alias("b")).groupBy("w").agg(
         F.bit_or(F.expr("shiftleft(1L, b)")).alias("b")).collect()}
-    n = docs.select(F.xxhash64(text_of("text")).alias("k")).distinct().count()
     if not flags:
-        return found.select("text_key", F.array().cast("array<string>").alias("terms")).where("false")
+        return None
     table = F.from_json(F.lit("[" + ",".join(str(flags.get(i, 0)) for i in range(bits // 64)) + "]"), "array<bigint>")
 
     def maybe(t: Column) -> Column:
         return let(F.pmod(F.xxhash64(t), F.lit(bits)), lambda x: F.getbit(F.get(table, F.floor(x / 64).cast("int")), (x % 64).cast("int")) == 1)
-
-    held = docs.select(text_of("text").alias("text")).select(F.xxhash64("text").alias("k"), F.explode(F.filter(terms_of(F.col("text")), maybe)).alias("term"))
-    spread = held.join(together.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = together.join(recurring, "entity").join(spread, "term").where(
-        F.log(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) >= threshold * F.log(F.lit(float(n)) / F.col("n_e")))
-    told = told.where(F.col("n_e") < n).select("entity", "term")
-    return near.join(told, ["entity", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return maybe
 
 
-def personal_data(docs: DataFrame, reach: int = 120, support: int = 3, threshold: float = 0.8, bits: int = 1 << 20) -> DataFrame:
+def personal_data(docs: DataFrame, threshold: float = 0.8, bits: int = 1 << 20) -> DataFrame:
     """doc_id, text, and span arrays email, ip, card, phone, term for every row of `docs` (doc_id, text).
 
-    Base spans follow the patterns on whole texts; `term` spans mark every occurrence of a term that discloses a value
-    mentioned in the same text. Texts without any base span meet no join. Repeated rows get equal results, null texts are
-    empty, other columns are not read.
+    Base spans follow the patterns on whole texts; `term` spans mark every occurrence, outside mail addresses, of a term that
+    discloses something the same text protects: a kind of value, a group of values or a value. Texts without any base span
+    meet no join. Repeated rows get equal results (and count as documents, though one text is no evidence twice), null texts
+    are empty, an empty table gives no rows, very long texts are read whole, other columns are not read.
     """
     base = with_base(docs)
     hit = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
     some = written(base.where(hit).withColumn("text_key", F.sha2("text", 256)))
-    terms = disclosing_terms(some.dropDuplicates(["text_key"]), docs, reach, support, threshold, bits)
-    words = spans_of(F.col("text"), TERM)
-    marked = some.join(terms, "text_key", "left").withColumn("term", F.when(F.col("terms").isNull(), no_spans()).otherwise(
-        F.filter(words, lambda s: F.array_contains("terms", F.lower(s["value"])))))
+    once = written(some.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.any_value(F.struct("text", *PATTERNS)).alias("r")).select("text_key", "copies", "r.*"))
+    terms = disclosing_terms(once, docs, threshold, bits)
+    words = F.filter(spans_of(F.col("text"), TERM), lambda s: F.array_contains("terms", F.lower(s["value"])) & ~F.exists(
+        "email", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    marked = some.join(terms, "text_key", "left").withColumn("term", F.when(F.col("terms").isNull(), no_spans()).otherwise(words))
     return base.where(~hit).withColumn("term", no_spans()).unionByName(marked.select("doc_id", "text", *PATTERNS, "term"))
 
 

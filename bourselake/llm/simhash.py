@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from bourselake.llm.common import written
+from bourselake.llm.common import raw_texts, written
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -33,7 +33,7 @@ def fingerprint(raw: bytes | None, size: int = 3) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
-    found = np.array([fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    found = np.array([fingerprint(t) for t in raw_texts(texts)], dtype=np.uint64)
     return pa.array(found.view(np.int64))
 
 

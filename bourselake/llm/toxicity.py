@@ -4,13 +4,14 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import bucket5, let, text_of, written
+from bourselake.llm.common import bucket5, let, pieces, text_of, written
 
 TOKEN = re.compile(r"[^\W_]+")
 TOKEN_JAVA = r"[^\p{L}\p{N}]+"
@@ -164,12 +165,13 @@ def assess(model: Crf, text: str | None) -> tuple[float, list[tuple[int, int]]]:
     return score, [(f[1], f[2]) for f, q in zip(found, p) if q >= 0.5]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 1000, support: int = 8) -> Crf:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 1000) -> Crf:
     """The model from a bounded sample: the `sample` labelled ids of the training folds with the smallest hashes.
 
-    The lexicon takes the words that toxic texts hold at least 8 times as often as others, in at least `support` toxic
-    texts. Near copies count as one there: texts count by their smallest hash of three words in a row. At most `words`
-    words enter the model, so it has a fixed size.
+    The lexicon takes the words that toxic texts hold more often than chance explains: their log-likelihood ratio against
+    equal shares is one that less than one word of the vocabulary would reach by chance, where words too rare to reach it at
+    all do not count. So the rule follows the size of the sample. Near copies count as one there: texts count by their smallest hash of three words in a row. The `words`
+    strongest words at most enter the model, so it has a fixed size.
     """
     marked = labels.where("toxic is not null and doc_id is not null").where(bucket5("doc_id") != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -179,18 +181,35 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8000, words: int = 1
     rows = chosen.select((F.col("toxic") == 1).alias("bad"), parts.alias("parts"))
     triples = let(F.col("parts"), lambda all: F.transform(all, lambda w, i: F.xxhash64(w, F.get(all, i + 1), F.get(all, i + 2))))
     rows = rows.select("bad", F.array_min(triples).alias("sketch"), F.array_distinct("parts").alias("parts"))
-    sizes = rows.groupBy("bad").agg(F.count_distinct("sketch").alias("n")).collect()
-    sizes = {r["bad"]: r["n"] + 1.0 for r in sizes}
+    sizes = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count_distinct("sketch").alias("n")).collect()}
+    share = sizes.get(True, 0) / max(1, sum(sizes.values()))
+    if not 0 < share < 1:
+        return train([], {})
     seen = rows.select("bad", "sketch", F.explode("parts").alias("word")).distinct().groupBy("word").agg(
         F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
-    odds = F.log((F.col("bad") + 0.25) / sizes.get(True, 1.0)) - F.log((F.col("good") + 0.25) / sizes.get(False, 1.0))
-    ranked = seen.where(F.col("bad") >= support).select("word", odds.alias("odds"), (odds * F.sqrt("bad")).alias("weight"))
-    best = ranked.where(F.col("odds") > math.log(8)).orderBy(F.desc("weight"), "word").limit(words).collect()
+    seen = written(seen)
+    both = F.col("bad") + F.col("good")
+    part = lambda n, p: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * p))).otherwise(0.0)
+    ranked = seen.where(F.col("bad") > both * share).select("word", (2 * (part("bad", share) + part("good", 1 - share))).alias("weight"),
+                                                            (F.log((F.col("bad") + 0.25) / share) - F.log((F.col("good") + 0.25) / (1 - share))).alias("odds"))
+    rare = unlikely({r["n"]: r["words"] for r in seen.groupBy(F.least(both, F.lit(64)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()}, share)
+    best = ranked.where((F.col("weight") >= rare) & (F.col("odds") > math.log(2))).orderBy(F.desc("weight"), "word").limit(words).collect()
     lexicon = {r["word"]: r["odds"] for r in best}
     texts = chosen.orderBy(F.xxhash64("text"), "text").toLocalIterator() if lexicon else []
     return train([(r["text"], int(r["toxic"] == 1)) for r in texts], lexicon)
 
 
+def unlikely(words: dict[int, int], share: float) -> float:
+    """The log-likelihood ratio that chance gives one word at most, from the numbers of words by the texts that hold them."""
+    normal = NormalDist()
+    for least in range(1, 65):
+        able = max(2, sum(n for k, n in words.items() if k >= least))
+        limit = normal.inv_cdf(1 - 0.5 / able) ** 2
+        if 2 * least * math.log(1 / share) >= limit:
+            return limit
+    return limit
+
+
 def scorer(model: Crf):
     """Column function: text to struct<score, spans>, whole texts, null as empty."""
     kind = "struct<score:double,spans:array<struct<start:int,end:int>>>"
@@ -199,9 +218,10 @@ def scorer(model: Crf):
     @F.arrow_udf(kind)
     def score(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in texts.to_pylist():
-            value, spans = assess(model, text)
-            rows.append({"score": value, "spans": [{"start": a, "end": b} for a, b in spans]})
+        for low, high in pieces(texts):
+            for text in texts.slice(low, high - low).to_pylist():
+                value, spans = assess(model, text)
+                rows.append({"score": value, "spans": [{"start": a, "end": b} for a, b in spans]})
         return pa.array(rows, arrow)
 
     return score
@@ -211,6 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> Column:
     """struct<score, spans> of the text of each row of `docs`, learned from `labels` (doc_id, toxic) of the training folds.
 
     The column is a function of the text alone, so repeated rows agree, other columns do not matter, and empty or null
-    texts get the score of a text without known words. Without labels of both kinds no word is known.
+    texts get the score of a text without known words. Without labels of both kinds no word is known and all scores are equal.
+    An empty table gives no rows; very long texts are scored whole.
     """
     return scorer(learn(docs, labels, **options))(F.col("text").cast("string"))

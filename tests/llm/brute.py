@@ -112,6 +112,33 @@ def pii(text: str | None) -> str:
     return ",".join(f"{k}:{m.start()}:{m.end()}" for k, (r, ok) in PII.items() for m in re.finditer(r, text or "") if ok(m))
 
 
+def disclosed(texts: list[str], threshold: float) -> list[list[str]]:
+    """Per text the words that disclose a kind, group or value it protects, by document counts."""
+    group = {"email": lambda v: v.split("@")[-1], "ip": lambda v: ".".join(v.split(".")[:2]), "card": lambda v: only_digits(v)[:6], "phone": lambda v: only_digits(v)[:4]}
+    entities, words_in = [], []
+    for text in texts:
+        own = set()
+        for kind, (r, ok) in PII.items():
+            for m in re.finditer(r, text):
+                if ok(m):
+                    own |= {kind, f"{kind}-group:{group[kind](m[0])}", f"{kind}:{m[0]}"}
+        entities.append(own)
+        words_in.append(re.findall(r"[^\W\d_]{2,}", re.sub(PII["email"][0], " ", text)))
+    n, n_e, n_t, n_te, d = len(texts), Counter(), Counter(), Counter(), Counter()
+    for k, (own, ws) in enumerate(zip(entities, words_in)):
+        terms = {w.lower() for w in ws}
+        n_e.update(own)
+        n_t.update(terms)
+        pairs = [(e, t) for e in own for t in terms]
+        n_te.update(pairs)
+        d.update(pairs if texts[k] not in texts[:k] else [])
+
+    def tells(e, t):
+        chance = 1 - 1 / math.sqrt(d[e, t])
+        return d[e, t] > 1 and n_e[e] < n and math.log(n_te[e, t] * n / (n_t[t] * n_e[e]) * chance) >= threshold * math.log(n / n_e[e])
+    return [[w for w in ws if any(tells(e, w.lower()) for e in own)] for own, ws in zip(entities, words_in)]
+
+
 def secrets(text: str | None) -> str:
     found = [(m.start(), n, k, m.end()) for n, (k, (r, ok)) in enumerate(SECRETS.items()) for m in re.finditer(r, text or "") if ok(m)]
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))

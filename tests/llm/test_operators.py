@@ -161,13 +161,25 @@ def test_pii(docs, rows, none):
 
 
 def test_pii_terms_that_disclose(spark):
-    told = [(i, f"note {i}{chr(97 + i) * 5} about zorblax from ann@site.example.org today") for i in range(4)]
-    plain = [(10 + i, f"note about weather {chr(97 + i % 26) * 6} from everyone today") for i in range(60)]
+    told = [(i, f"note {i}{chr(97 + i) * 5} about zorblax from ann@site.example.org today") for i in range(8)]
+    plain = [(10 + i, f"note about weather {chr(97 + i % 26) * 6} from everyone today") for i in range(300)]
     clean = pii.with_sanitised(pii.personal_data(spark.createDataFrame(told + plain, "doc_id long, text string")))
     got = {r.doc_id: r.clean for r in clean.collect()}
     assert got[1] == "note 1bbbbb about  from <EMAIL> today" and got[10] == plain[0][1]
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_pii_terms_equal_plain_counts(spark, threshold):
+    rng = random.Random(9)
+    names, values = [f"na{chr(97 + i)}" for i in range(12)], ["a@x.example.org", "b.c@y.example.org", "10.1.2.3", "10.1.9.9", "+49 30 1234567", "4111 1111 1111 1111"]
+    texts = [" ".join([*rng.choices("of the and Öl ça".split(), k=6), *([values[i // 3 % 6], names[i // 3 % 6]] if i % 3 == 0 else [rng.choice(names)])]) for i in range(90)]
+    texts += texts[:9] + texts[:3]
+    found = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), threshold=threshold)
+    got = sorted((r.doc_id, [r.text[s.start:s.end] for s in r.term]) for r in found.collect())
+    want = brute.disclosed(texts, threshold)
+    assert got == list(enumerate(want)) and any(want)
+
+
 def test_secrets(docs, rows, none):
     found = secret_scan.secrets(docs, random_rows=256)
     kinds = tuple(secret_scan.PATTERNS)

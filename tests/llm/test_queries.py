@@ -29,7 +29,11 @@ def test_toxicity_held_out(spark):
     marked = pd.read_parquet(f"{SMALL}/labels.parquet")
     got = RUNS["op7_toxicity"](spark, SMALL).toPandas().merge(marked, on="doc_id")
     clean = got[(got.toxic == 0) & got.held_out]
-    assert len(got) and (clean.predicted == 0).mean() >= 0.97
+    assert len(got) and (clean.predicted == 0).mean() >= 0.97 and got.score.nunique() > 1
+    texts = pd.read_parquet(f"{SMALL}/documents.parquet").set_index("doc_id").text
+    # labels hold noise: of the texts with one of the commoner insults nearly all are found
+    rude = got[(got.toxic == 1) & got.doc_id.map(lambda d: any(w in texts[d].lower() for w in ("moron", "loser", "scum", "disgusting")))]
+    assert len(rude) >= 5 and (rude.predicted == 1).mean() >= 0.9
 
 
 def test_pipeline_stages_take_effect(spark):
