@@ -99,9 +99,36 @@ def q_similar(m):
                      r6("ticker_sim").alias("ticker_sim"), r6("title_sim").alias("title_sim"), "n_pairs")
 
 
-@query("dedupe_signals")
+add_view("ordered", "canon", """SELECT *, ROW_NUMBER() OVER (PARTITION BY batch, direction ORDER BY raw_score DESC, skill, signal_ref) AS i,
+  STRING_SPLIT(tickers, ',') AS tk, LIST_DISTINCT(STRING_SPLIT(LOWER(title), ' ')) AS wd FROM canon""")
+# one step per position: the primaries so far are a list, and the first similar one absorbs
+add_view("visits", "ordered", """
+SELECT batch, direction, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, tk VARCHAR[], wd VARCHAR[])[]) AS led, CAST(NULL AS BIGINT) AS hit FROM (SELECT DISTINCT batch, direction FROM ordered)
+UNION ALL
+SELECT batch, direction, i, CASE WHEN hit IS NULL THEN LIST_APPEND(led, STRUCT_PACK(i := i, tk := tk, wd := wd)) ELSE led END, COALESCE(hit, i)
+FROM (SELECT o.batch, o.direction, o.i, o.tk, o.wd, v.led, LIST_FILTER(v.led, lambda l:
+    10 * LEN(LIST_INTERSECT(l.tk, o.tk)) >= 3 * (LEN(l.tk) + LEN(o.tk) - LEN(LIST_INTERSECT(l.tk, o.tk)))
+    OR 10 * LEN(LIST_INTERSECT(l.wd, o.wd)) >= 6 * (LEN(l.wd) + LEN(o.wd) - LEN(LIST_INTERSECT(l.wd, o.wd))))[1].i AS hit
+  FROM visits v JOIN ordered o ON o.batch = v.batch AND o.direction = v.direction AND o.i = v.i + 1)""")
+add_view("members", "ordered visits", """
+SELECT o.*, v.hit AS lead FROM ordered o JOIN visits v ON v.batch = o.batch AND v.direction = o.direction AND v.i = o.i WHERE v.i > 0""")
+add_view("merges", "members", """
+SELECT m.batch, m.direction, l.skill, l.signal_ref, l.title, l.time_horizon, l.ts, LIST(m.i) AS ranks,
+  ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST(m.tickers))), ',') AS tickers,
+  STRING_AGG(CONCAT(m.skill, ':', m.signal_ref), ',' ORDER BY m.i) AS contributing,
+  COALESCE(STRING_AGG(CASE WHEN m.i <> m.lead THEN CONCAT(m.skill, ':', m.signal_ref) END, ',' ORDER BY m.i), '') AS merged_from
+FROM members m JOIN ordered l ON l.batch = m.batch AND l.direction = m.direction AND l.i = m.lead GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+
+
+def merged(m: Market):
+    return sg.merge(sg.dedupe(canonical(m)))
+
+
+@query("dedupe_signals", "merges", "SELECT batch, direction, skill, signal_ref, title, time_horizon, tickers, contributing, merged_from FROM merges")
 def q_dedupe(m):
-    return sg.dedupe(canonical(m)).select("batch", "skill", "signal_ref", "lead_skill", "lead_ref", "is_primary")
+    names = F.transform("contributing", lambda c: F.concat(c["skill"], F.lit(":"), c["signal_ref"]))
+    return merged(m).select("batch", "direction", "skill", "signal_ref", "title", "time_horizon", F.array_join("tickers", ",").alias("tickers"),
+                            F.array_join(names, ",").alias("contributing"), F.array_join("merged_from", ",").alias("merged_from"))
 
 
 BUCKET = "CASE time_horizon WHEN '20D' THEN 'short' WHEN '16W' THEN 'medium' WHEN '9M' THEN 'long' WHEN '1-3 months' THEN 'short' ELSE 'unknown' END"
@@ -131,22 +158,21 @@ def age_case(ts):
     return f"CASE WHEN {ts} IS NULL THEN 0.85 WHEN {age} < 1 THEN 1.0 WHEN {age} < 4 THEN 0.95 WHEN {age} < 8 THEN 0.9 ELSE 0.85 END"
 
 
-add_view("scored", "canon", f"""
-WITH g AS (SELECT batch, direction, tickers, SUM(raw_score * CAST({WEIGHT_CASE} AS DOUBLE)) / SUM(CAST({WEIGHT_CASE} AS DOUBLE)) AS base, COUNT(DISTINCT skill) AS n_skills, COUNT(*) - 1 AS n_merged, AVG(raw_score) AS avg_raw,
-  (LIST(ts ORDER BY raw_score DESC, signal_ref DESC))[1] AS ts FROM canon GROUP BY 1, 2, 3),
-a AS (SELECT *, CASE WHEN n_skills >= 3 THEN 0.2 WHEN n_skills = 2 THEN 0.1 ELSE 0 END AS agreement, {age_case('ts')} AS recency FROM g)
+add_view("scored", "merges members", f"""
+WITH g AS (SELECT batch, direction, lead, SUM(raw_score * CAST({WEIGHT_CASE} AS DOUBLE)) / SUM(CAST({WEIGHT_CASE} AS DOUBLE)) AS base, COUNT(DISTINCT skill) AS n_skills, COUNT(*) - 1 AS n_merged, AVG(raw_score) AS avg_raw
+  FROM members GROUP BY 1, 2, 3),
+a AS (SELECT r.batch, r.direction, r.skill, r.signal_ref, r.tickers, r.time_horizon, g.base, g.n_skills, g.n_merged, g.avg_raw,
+  CASE WHEN n_skills >= 3 THEN 0.2 WHEN n_skills = 2 THEN 0.1 ELSE 0 END AS agreement, {age_case('r.ts')} AS recency
+  FROM merges r JOIN members m ON m.batch = r.batch AND m.direction = r.direction AND m.skill = r.skill AND m.signal_ref = r.signal_ref AND m.i = m.lead
+  JOIN g ON g.batch = m.batch AND g.direction = m.direction AND g.lead = m.lead)
 SELECT *, LEAST(1, (base + agreement + n_merged * 0.05) * recency) AS composite_score FROM a""")
 
 
-def merged(m: Market):
-    return sg.score(canonical(m), ["batch", "direction", "tickers"], AS_OF)
-
-
-@query("signal_score", "scored", """SELECT batch, direction, tickers, n_skills, n_merged, R6(composite_score) AS composite_score, R6(agreement / 0.2 * 0.35) AS conf_agreement, R6(avg_raw * 0.4) AS conf_strength,
+@query("signal_score", "scored", """SELECT batch, direction, skill, signal_ref, tickers, n_skills, n_merged, R6(composite_score) AS composite_score, R6(agreement / 0.2 * 0.35) AS conf_agreement, R6(avg_raw * 0.4) AS conf_strength,
   R6(recency * 0.25) AS conf_recency FROM scored""")
 def q_score(m):
-    return merged(m).select("batch", "direction", F.array_join("tickers", ",").alias("tickers"), "n_skills", "n_merged",
-                            *[r6(c).alias(c) for c in ("composite_score", "conf_agreement", "conf_strength", "conf_recency")])
+    return sg.score(merged(m), AS_OF).select("batch", "direction", "skill", "signal_ref", F.array_join("tickers", ",").alias("tickers"), "n_skills", "n_merged",
+                                             *[r6(c).alias(c) for c in ("composite_score", "conf_agreement", "conf_strength", "conf_recency")])
 
 
 add_view("single", "canon contra", f"""
@@ -169,8 +195,21 @@ def q_adjust(m):
     return single(m).select("batch", "skill", "signal_ref", F.col("n_medium").cast("bigint"), r6("composite_score").alias("composite_score"), r6("adjusted_score").alias("adjusted_score"))
 
 
-@query("signal_rank", "single", """SELECT batch, skill, signal_ref, R6(adjusted_score) AS adjusted_score, ROW_NUMBER() OVER (PARTITION BY batch ORDER BY R6(adjusted_score) DESC, skill, signal_ref) AS rank
-  FROM single QUALIFY R6(adjusted_score) >= 0.5""")
+add_view("opposed", "scored", f"""
+WITH s AS (SELECT *, {BUCKET} AS bucket FROM scored),
+pairs AS (SELECT DISTINCT a.batch, a.skill AS skill_a, a.signal_ref AS ref_a, b.skill AS skill_b, b.signal_ref AS ref_b,
+    CASE WHEN a.skill = b.skill THEN 'HIGH' WHEN NOT (a.bucket = 'unknown' OR b.bucket = 'unknown' OR a.bucket = b.bucket) THEN 'LOW' ELSE 'MEDIUM' END AS severity
+  FROM s a JOIN s b ON a.batch = b.batch AND a.direction = 'LONG' AND b.direction = 'SHORT' AND LEN(LIST_INTERSECT(STRING_SPLIT(a.tickers, ','), STRING_SPLIT(b.tickers, ','))) > 0),
+m AS (SELECT batch, skill, ref, SUM(CAST(severity = 'MEDIUM' AS INT)) AS n_medium, MAX(CAST(severity = 'HIGH' AS INT)) AS any_high FROM (
+  SELECT batch, skill_a AS skill, ref_a AS ref, severity FROM pairs UNION ALL SELECT batch, skill_b, ref_b, severity FROM pairs) GROUP BY 1, 2, 3)
+SELECT s.*, R6(composite_score * POW(0.9, COALESCE(m.n_medium, 0))) AS adjusted_score FROM s LEFT JOIN m ON m.batch = s.batch AND m.skill = s.skill AND m.ref = s.signal_ref WHERE COALESCE(m.any_high, 0) = 0""")
+
+
+@query("signal_rank", "opposed", """SELECT batch, skill, signal_ref, tickers, n_merged, adjusted_score, ROW_NUMBER() OVER (PARTITION BY batch ORDER BY adjusted_score DESC, skill, signal_ref) AS rank
+  FROM opposed QUALIFY adjusted_score >= 0.5""")
 def q_rank(m):
-    df = single(m).withColumn("adjusted_score", r6("adjusted_score"))
-    return sg.ranked(df, "adjusted_score", 0.5, "skill", "signal_ref").select("batch", "skill", "signal_ref", "adjusted_score", "rank")
+    """Merged signals by score, less those that others of the batch contradict."""
+    scored = cut_lineage(sg.score(merged(m), AS_OF).select("batch", "skill", "signal_ref", "direction", "tickers", "time_horizon", "n_merged", "composite_score"))
+    df = sg.adjusted(sg.contradiction_load(scored)).withColumn("adjusted_score", r6("adjusted_score"))
+    return sg.ranked(df, "adjusted_score", 0.5, "skill", "signal_ref").select("batch", "skill", "signal_ref", F.array_join("tickers", ",").alias("tickers"),
+                                                                              "n_merged", "adjusted_score", "rank")

@@ -95,6 +95,25 @@ def test_greedy_dedupe_equals_brute_force(spark, seed):
     assert got == brute_dedupe(rows)
 
 
+def test_merged_signals_keep_what_contributes(spark):
+    rows = [(1, "b", "r1", "LONG", ["A", "B"], "one two", 0.9, "20D"), (1, "a", "r2", "LONG", ["B"], "other words", 0.5, "9M"),
+            (1, "a", "r3", "LONG", [], "one two", 0.7, "9M"), (1, "c", "r4", "SHORT", ["B"], "one two", 0.4, "20D"), (2, "b", "r1", "LONG", ["A"], "one two", 0.1, "20D")]
+    df = spark.createDataFrame(rows, "batch int, skill string, signal_ref string, direction string, tickers array<string>, title string, raw_score double, time_horizon string")
+    got = {(r.batch, r.signal_ref): (r.tickers, [c.signal_ref for c in r.contributing], r.merged_from) for r in sg.merge(sg.dedupe(df.withColumn("ts", F.lit(None).cast("timestamp")))).collect()}
+    assert got == {(1, "r1"): (["A", "B"], ["r1", "r3", "r2"], ["a:r3", "a:r2"]), (1, "r4"): (["B"], ["r4"], []), (2, "r1"): (["A"], ["r1"], [])}
+
+
+def test_long_chain_of_signals_in_few_writes(spark, monkeypatch):
+    """24 signals in a row, each similar to its neighbours only: every other one leads."""
+    rows = [dict(batch=1, skill="s", signal_ref=f"r{i:02d}", raw_score=1 - i / 100, direction="LONG", tickers=[f"T{i}", f"T{i + 1}"], title=f"title{i}", time_horizon="20D") for i in range(24)]
+    df = spark.createDataFrame(rows, "batch int, skill string, signal_ref string, raw_score double, direction string, tickers array<string>, title string, time_horizon string").withColumn(
+        "ts", F.lit(None).cast("timestamp"))
+    writes = []
+    monkeypatch.setattr(sg, "cut_lineage", lambda d, keep=sg.cut_lineage: writes.append(1) or keep(d))
+    assert {r.signal_ref: r.lead_ref for r in sg.dedupe(df).collect()} == brute_dedupe(rows)
+    assert len(writes) <= 9
+
+
 def test_direction_and_horizon_words(spark):
     df = spark.createDataFrame([("Bullish", "20D"), ("sell", "16W"), ("?", "9M"), (None, "1-3 months"), ("buy", "6 months"), ("up", "")], "d string, h string")
     out = df.select(sg.direction(F.col("d")).alias("d"), sg.horizon(F.col("h")).alias("h")).collect()
