@@ -81,12 +81,16 @@ add_view("phints", "news", """SELECT news_id AS hint_id, title, CONCAT_WS(' ', t
   CASE lang WHEN 'de' THEN '' WHEN 'fr' THEN 'RiskOff' ELSE 'RiskOn' END AS regime_bias, CASE WHEN lang <> 'en' THEN symbol END AS symbol FROM news""")
 
 
-@query("concept_hint_match", "concepts phints", """
-WITH j AS (SELECT DISTINCT c.id, h.title FROM concepts c JOIN phints h ON (h.symbol IS NULL OR LIST_CONTAINS(c.symbols, h.symbol)) AND (h.regime_bias = '' OR h.regime_bias = c.regime) AND (c.fam IS NULL OR h.entry_family IS NULL OR h.entry_family = c.fam)),
-k AS (SELECT * FROM j QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY title) <= 10)
-SELECT id, COUNT(*) AS n, MD5(STRING_AGG(title, '|' ORDER BY title)) AS titles FROM k GROUP BY id""")
+add_view("concept_symbols", "tickets", f"SELECT DISTINCT LOWER(CONCAT_WS('_', 'edge_concept', {CK})) AS id, symbol FROM tickets")
+add_view("hint_hits", "concepts phints concept_symbols", """
+WITH j AS (SELECT DISTINCT c.id, h.title FROM concepts c JOIN phints h ON (h.symbol IS NULL OR EXISTS (SELECT 1 FROM concept_symbols s WHERE s.id = c.id AND s.symbol = h.symbol))
+  AND (h.regime_bias = '' OR h.regime_bias = c.regime) AND (c.fam IS NULL OR h.entry_family IS NULL OR h.entry_family = c.fam))
+SELECT * FROM j QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY title) <= 10""")
+
+
+@query("concept_hint_match", "hint_hits", "SELECT id, COUNT(*) AS n, MD5(STRING_AGG(title, '|' ORDER BY title)) AS titles FROM hint_hits GROUP BY id")
 def q_concept_hints(m):
-    df = pl.concept_hints(concepts(m), hints(m))
+    df = pl.concept_hints(concepts(m), tickets(m), hints(m))
     return df.select("id", F.size("hint_titles").cast("bigint").alias("n"), F.md5(F.array_join("hint_titles", "|")).alias("titles"))
 
 
@@ -138,21 +142,75 @@ def q_dedupe_hints(m):
     return pl.dedupe_hints(rules(m), ["title", "hypothesis_type", "mechanism_tag", "regime_bias"], "date").select("date", "title", "regime_bias")
 
 
-@query("dedupe_concepts")
+def merged_sql(name: str, source: str, hint_hits: str) -> None:
+    """Views of merged concepts over the ticket view `source`: a recursion over positions with the leaders so far in a list."""
+    ident = f"LOWER(CONCAT_WS('_', 'edge_concept', {CK}))"
+    add_view(f"{name}_base", source, f"""
+WITH b AS (SELECT {CK}, COUNT(*) AS ticket_count, AVG(priority_score) AS avg_priority FROM {source} GROUP BY ALL),
+f AS (SELECT {CK}, entry_family AS fam FROM {source} WHERE entry_family <> 'research_only' GROUP BY {CK}, entry_family QUALIFY ROW_NUMBER() OVER (PARTITION BY {CK} ORDER BY COUNT(*) DESC, entry_family) = 1),
+c AS (SELECT {CK}, LIST(DISTINCT LOWER(TRIM(cond))) AS items FROM (SELECT {CK}, UNNEST(conditions) AS cond FROM {source}) GROUP BY ALL),
+s AS (SELECT {CK}, LIST(DISTINCT symbol) AS symbols FROM {source} WHERE symbol IS NOT NULL GROUP BY ALL)
+SELECT {ident} AS id, b.*, fam, COALESCE(items, []) AS items, symbols, ROW_NUMBER() OVER (PARTITION BY hypothesis_type ORDER BY {ident}) AS i
+FROM b LEFT JOIN f USING ({CK}) LEFT JOIN c USING ({CK}) LEFT JOIN s USING ({CK})""")
+    add_view(f"{name}_walk", f"{name}_base", f"""
+SELECT hypothesis_type, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id VARCHAR, items VARCHAR[])[]) AS led, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS leader FROM {name}_base GROUP BY 1
+UNION ALL
+SELECT hypothesis_type, i, CASE WHEN hit IS NULL THEN LIST_APPEND(led, STRUCT_PACK(id := id, items := items))
+    ELSE LIST_TRANSFORM(led, lambda l: STRUCT_PACK(id := l.id, items := CASE WHEN l.id = hit THEN LIST_DISTINCT(LIST_CONCAT(l.items, items)) ELSE l.items END)) END, id, COALESCE(hit, id)
+FROM (SELECT c.hypothesis_type, c.i, c.id, c.items, w.led, LIST_FILTER(w.led, lambda l: LEN(l.items) > 0 AND LEN(c.items) > 0
+    AND LEN(LIST_INTERSECT(l.items, c.items)) > 0.75 * LEAST(LEN(l.items), LEN(c.items)))[1].id AS hit
+  FROM {name}_walk w JOIN {name}_base c ON c.hypothesis_type = w.hypothesis_type AND c.i = w.i + 1)""")
+    add_view(name, f"{name}_base {name}_walk {source} {hint_hits}", f"""
+WITH m AS (SELECT b.*, w.leader, COALESCE(SUM(ticket_count) OVER (PARTITION BY w.leader ORDER BY b.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM {name}_base b JOIN {name}_walk w ON w.id = b.id),
+g AS (SELECT leader, MIN(hypothesis_type) AS hypothesis_type, STRING_AGG(id, ',' ORDER BY id) AS merged_ids, CAST(SUM(ticket_count) AS BIGINT) AS ticket_count, SUM(avg_priority * ticket_count) / SUM(ticket_count) AS avg_priority,
+    ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST(mechanism_tag))), '+') AS mechanism_tag, MAX_BY(regime, CASE WHEN ticket_count > before THEN id END) AS regime,
+    COALESCE(MAX_BY(fam, CASE WHEN ticket_count > before AND fam IS NOT NULL THEN id END), MIN_BY(fam, CASE WHEN fam IS NOT NULL THEN id END)) AS recommended_family,
+    ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(FLATTEN(LIST(symbols)))), ',') AS symbols, ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(FLATTEN(LIST(items)))), ';') AS conditions FROM m GROUP BY leader),
+e AS (SELECT leader, STRING_AGG(CONCAT(entry_family, ':', n), ',' ORDER BY entry_family) AS families FROM (SELECT w.leader, t.entry_family, COUNT(*) AS n FROM (SELECT {ident} AS cid, entry_family FROM {source}) t JOIN {name}_walk w ON w.id = t.cid
+    WHERE t.entry_family <> 'research_only' GROUP BY ALL) GROUP BY 1),
+h AS (SELECT leader, COUNT(DISTINCT title) AS n_hints, MD5(STRING_AGG(DISTINCT title, '|' ORDER BY title)) AS titles FROM {hint_hits} JOIN {name}_walk USING (id) GROUP BY 1)
+SELECT LOWER(CONCAT_WS('_', 'edge_concept', hypothesis_type, REPLACE(mechanism_tag, '+', '_'), regime)) AS id, hypothesis_type, mechanism_tag, regime, merged_ids, ticket_count, R4(avg_priority) AS avg_priority, recommended_family,
+  recommended_family IS NOT NULL AS export_ready, COALESCE(symbols, '') AS symbols, COALESCE(conditions, '') AS conditions, COALESCE(families, '') AS families, COALESCE(n_hints, 0) AS n_hints, titles
+FROM g LEFT JOIN e USING (leader) LEFT JOIN h USING (leader)""")
+
+
+merged_sql("merged_concepts", "tickets", "hint_hits")
+add_view("all_tickets", "tickets promoted", """
+SELECT symbol, hypothesis_type, entry_family, mechanism_tag, regime, priority_score, conditions FROM tickets
+UNION ALL SELECT symbol, hypothesis_type, 'research_only', 'behavior', regime, 30.0, CAST([] AS VARCHAR[])
+  FROM (SELECT * FROM promoted ORDER BY hint_id LIMIT (SELECT GREATEST(CAST(CEIL(COUNT(*) * 0.05) AS BIGINT), 3) FROM tickets))""")
+merged_sql("every_concept", "all_tickets", "every_hint")
+add_view("every_hint", "every_concept_base phints", """
+WITH j AS (SELECT DISTINCT c.id, h.title FROM every_concept_base c JOIN phints h ON (h.symbol IS NULL OR LIST_CONTAINS(c.symbols, h.symbol))
+  AND (h.regime_bias = '' OR h.regime_bias = c.regime) AND (c.fam IS NULL OR h.entry_family IS NULL OR h.entry_family = c.fam))
+SELECT * FROM j QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY title) <= 10""")
+
+
+def merged_rows(found, given, m: Market):
+    df = pl.dedupe_concepts(found, given, pl.concept_hints(found, given, hints(m)))
+    empty = F.array().cast("array<string>")
+    families = F.transform("families", lambda f: F.concat_ws(":", f["entry_family"], f["n"].cast("string")))
+    return df.select("id", "hypothesis_type", "mechanism_tag", "regime", F.array_join("merged_ids", ",").alias("merged_ids"), "ticket_count", r4("avg_priority").alias("avg_priority"),
+                     "recommended_family", "export_ready", F.array_join(F.coalesce("symbols", empty), ",").alias("symbols"), F.array_join(F.coalesce("conditions", empty), ";").alias("conditions"),
+                     F.coalesce(F.array_join(families, ","), F.lit("")).alias("families"), F.coalesce(F.size("hint_titles"), F.lit(0)).cast("bigint").alias("n_hints"),
+                     F.md5(F.array_join("hint_titles", "|")).alias("titles"))
+
+
+@query("dedupe_concepts", "merged_concepts", "SELECT * FROM merged_concepts")
 def q_dedupe_concepts(m):
-    return pl.dedupe_concepts(concepts(m))
+    return merged_rows(cut_lineage(concepts(m)), tickets(m), m)
 
 
-@query("concepts")
+@query("concepts", "every_concept", "SELECT * FROM every_concept")
 def q_all_concepts(m):
     """Real and capped synthetic tickets clustered, merged, with the hints that speak for them."""
     real = tickets(m)
     extra = pl.cap_synthetic(real, pl.promote_hints(hints(m)), 0.05)
     extra = extra.select(F.col("hint_id").alias("id"), "symbol", "hypothesis_type", F.lit("research_only").alias("entry_family"), "mechanism_tag", "regime", "priority_score",
                          F.array().cast("array<string>").alias("conditions"))
-    found = cut_lineage(pl.concept_cluster(real.unionByName(extra)))
-    return pl.dedupe_concepts(found).join(pl.concept_hints(found, hints(m)), "id", "left").select(
-        "id", "hypothesis_type", "merged_ids", "ticket_count", "avg_priority", F.size("hint_titles").alias("n_hints"))
+    every = cut_lineage(real.unionByName(extra.withColumn("id", F.col("id").cast(dict(real.dtypes)["id"]))))
+    return merged_rows(cut_lineage(pl.concept_cluster(every)), every, m)
 
 
 def case_of(x, table, i, default):

@@ -243,11 +243,36 @@ def test_stream_upsert_keeps_latest(spark, tmp_path):
     assert got == {"a": 11, "b": 20}
 
 
+def first_fit(rows, overlap=0.75):
+    led, out = [], {}
+    for name, items in sorted(rows.items()):
+        hit = next((l for l in led if l[1] and items and len(l[1] & items) > overlap * min(len(l[1]), len(items))), None)
+        if hit:
+            hit[1] |= items
+        else:
+            led.append([name, set(items)])
+        out[name] = hit[0] if hit else name
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_absorption_equals_the_ordered_visit(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = {f"c{i:02d}": {f"k{k}" for k in rng.integers(0, 9, rng.integers(1, 6))} for i in range(40)}
+    df = spark.createDataFrame([(c, "h", k) for c, ks in rows.items() for k in ks], "id string, hypothesis_type string, item string")
+    assert {r.id: r.leader for r in ideas.absorbed(df).collect()} == first_fit(rows)
+
+
 def test_concepts_merge_by_containment(spark):
-    rows = [("c1", "h", 5, 10.0, ["a", "b"]), ("c2", "h", 9, 20.0, ["a", "b", "c"]), ("c3", "h", 1, 30.0, ["x"]), ("d1", "g", 2, 5.0, ["a", "b"])]
-    df = spark.createDataFrame(rows, "id string, hypothesis_type string, ticket_count long, avg_priority double, representative_conditions array<string>")
-    out = {r.id: (r.merged_ids, r.ticket_count, r.conditions) for r in ideas.dedupe_concepts(df).collect()}
-    assert out == {"c2": ("c1,c2", 14, "a,b,c"), "c3": ("c3", 1, "x"), "d1": ("d1", 2, "a,b")}
+    tickets = spark.createDataFrame(
+        [("h", "m1", "Up", "S1", "f1", 10.0, ["a", "b"])] * 5 + [("h", "m2", "Down", "S2", "research_only", 20.0, ["a", "B ", "c"])] * 9
+        + [("h", "m3", "Up", "S3", "research_only", 30.0, ["x"]), ("h", "m4", "Up", None, "research_only", 30.0, [])] + [("g", "m1", "Up", "S1", "f1", 5.0, ["a", "b"])] * 2,
+        "hypothesis_type string, mechanism_tag string, regime string, symbol string, entry_family string, priority_score double, conditions array<string>")
+    hints = spark.createDataFrame([("edge_concept_h_m2_down", ["t1"]), ("edge_concept_h_m1_up", ["t1", "t0"])], "id string, hint_titles array<string>")
+    out = {r.id: (r.ticket_count, r.symbols, [c.strip().lower() for c in r.conditions or []], r.regime, r.hint_titles) for r in ideas.dedupe_concepts(
+        ideas.concept_cluster(tickets), tickets, hints).collect()}
+    assert out == {"edge_concept_h_m1_m2_down": (14, ["S1", "S2"], ["b", "a", "b", "c"], "Down", ["t0", "t1"]), "edge_concept_h_m3_up": (1, ["S3"], ["x"], "Up", None),
+                   "edge_concept_h_m4_up": (1, None, [], "Up", None), "edge_concept_g_m1_up": (2, ["S1"], ["a", "b"], "Up", None)}
 
 
 def test_stream_anomalies_equal_brute_force(spark):
