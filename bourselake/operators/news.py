@@ -1,6 +1,9 @@
 """Text tagging of news by keyword containment, all as generated expressions over whole texts."""
 from __future__ import annotations
 
+import itertools
+import json
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,21 +84,59 @@ def strip_tags(c) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
-def hits(text: Column, words: Sequence[str]) -> Column:
-    """How many of the words the text contains."""
+class Phrases:
+    """All phrases of several tables, found in one pass over a text.
+
+    The pattern is a tree of the phrases' letters behind a look-ahead, so at every position of the text it yields the
+    longest phrase that starts there; every shorter one that starts there is a beginning of it and comes from a table.
+    """
+
+    def __init__(self, *tables: Mapping[str, Sequence[str]]):
+        self.words = sorted({w.lower() for table in tables for words in table.values() for w in words})
+        self.heads = {w: [v for v in self.words if w.startswith(v)] for w in self.words}
+        self.pattern = f"(?=({self._tree([*self.words])}))"
+
+    def _tree(self, words: list[str], depth: int = 0) -> str:
+        ends = any(len(w) == depth for w in words)
+        branches = []
+        for letter, group in itertools.groupby([w for w in words if len(w) > depth], key=lambda w: w[depth]):
+            branches.append(re.sub(r"[^\w ]", lambda m: "\\" + m[0], letter) + self._tree(list(group), depth + 1))
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})"
+        return joined + "?" if ends else joined
+
+    def found(self, text: Column) -> Column:
+        """The distinct phrases in a lower-case text."""
+        longest = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(1)))
+        several = F.from_json(F.lit(json.dumps({w: h for w, h in self.heads.items() if len(h) > 1})), "map<string,array<string>>")
+        return F.array_distinct(F.flatten(F.transform(longest, lambda w: F.coalesce(F.try_element_at(several, w), F.array(w)))))
+
+
+def hits(found: Column, words: Sequence[str]) -> Column:
+    """How many of the words are among the found phrases; a word listed twice counts twice."""
+    listed = F.array(*[F.lit(w.lower()) for w in words])
+    return F.size(F.filter(listed, lambda w: F.array_contains(found, w)))
+
+
+def contained(text: Column, words: Sequence[str]) -> Column:
+    """How many of a few words a text contains."""
     return sum((text.contains(w.lower()).cast("int") for w in words), F.lit(0))
 
 
-def event_type(text: Column, words: Mapping[str, Sequence[str]] = EVENT_WORDS) -> Column:
-    """Label with most hits, the first listed among equals, General without any."""
-    counts = F.array(*[hits(text, w) for w in words.values()])
-    top = F.array_max(counts)
-    names = F.array(*[F.lit(n) for n in words])
-    return F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise("General")
+def best_label(counts: Sequence[Column], labels: Sequence[str], none: str) -> Column:
+    """The label with most hits, the first listed among equals."""
+    names = F.array(*[F.lit(n) for n in labels])
+    best = F.transform(F.array(F.array(*counts)), lambda c: F.when(F.array_max(c) > 0, F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))))
+    return F.coalesce(F.get(best, F.lit(0)), F.lit(none))
+
 
+def event_type(found: Column, words: Mapping[str, Sequence[str]] = EVENT_WORDS) -> Column:
+    return best_label([hits(found, w) for w in words.values()], [*words], "General")
 
-def sentiment(text: Column) -> Column:
-    return sentiment_label(hits(text, BULLISH), hits(text, BEARISH))
+
+def sentiment(found: Column) -> Column:
+    return sentiment_label(hits(found, BULLISH), hits(found, BEARISH))
 
 
 def sentiment_label(up: Column, down: Column) -> Column:
@@ -103,17 +144,10 @@ def sentiment_label(up: Column, down: Column) -> Column:
             .when((down > up) & ((down >= 2) | (up == 0)), "Bearish").otherwise("Neutral"))
 
 
-def tagged(text: Column, words: Mapping[str, Sequence[str]]) -> Column:
+def tagged(found: Column, words: Mapping[str, Sequence[str]]) -> Column:
     """Labels with at least one hit, as an array in listed order."""
     return F.array_compact(F.array(*[
-        F.when(_any(text, w), F.lit(label)) for label, w in words.items()]))
-
-
-def _any(text: Column, words: Sequence[str]) -> Column:
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | text.contains(w.lower())
-    return cond
+        F.when(F.arrays_overlap(found, F.array(*[F.lit(x.lower()) for x in w])), F.lit(label)) for label, w in words.items()]))
 
 
 def stock_words() -> dict[str, list[str]]:
@@ -134,14 +168,39 @@ def impact(event: str, mood: str, sectors: str, stocks: str) -> Column:
     return F.least(F.greatest(score, F.lit(1)), F.lit(10)).cast("bigint")
 
 
+def every_phrase() -> Phrases:
+    return Phrases(EVENT_WORDS, {"up": BULLISH, "down": BEARISH}, SECTOR_WORDS, stock_words())
+
+
+def with_phrases(items: DataFrame, out: str = "found") -> DataFrame:
+    """Items (title, body, ...) with the phrases of their text, each text read once.
+
+    The row of phrases is laid through a generator, so that the optimizer does not repeat the search in every column that
+    reads it.
+    """
+    held = F.explode(F.array(every_phrase().found(full_text())))
+    return items.withColumn(out, held)
+
+
 def classify(items: DataFrame) -> DataFrame:
     """Items (title, body, ...) with event, sentiment, sectors, stocks and impact."""
-    df = items.withColumn("_t", full_text())
-    text = F.col("_t")
-    df = (df.withColumn("event_type", event_type(text)).withColumn("sentiment", sentiment(text))
-          .withColumn("sectors", tagged(text, SECTOR_WORDS))
-          .withColumn("stocks", tagged(text, stock_words())))
-    return df.withColumn("impact", impact("event_type", "sentiment", "sectors", "stocks")).drop("_t")
+    df = with_phrases(items, "_found")
+    found = F.col("_found")
+    df = (df.withColumn("event_type", event_type(found)).withColumn("sentiment", sentiment(found))
+          .withColumn("sectors", tagged(found, SECTOR_WORDS))
+          .withColumn("stocks", tagged(found, stock_words())))
+    return df.withColumn("impact", impact("event_type", "sentiment", "sectors", "stocks")).drop("_found")
+
+
+def about(items: DataFrame, stock: str | None = None, sector: str | None = None) -> DataFrame:
+    """Classified items on a stock and in a sector: tagged so, or with the name in title or body."""
+    def named(name: str) -> Column:
+        return F.lower("title").contains(name.lower()) | F.lower("body").contains(name.lower())
+    if stock:
+        items = items.filter(F.array_contains("stocks", stock.upper()) | named(stock))
+    if sector:
+        items = items.filter(F.exists("sectors", lambda s: F.lower(s) == sector.lower()) | named(sector))
+    return items
 
 
 def title_key(c="title") -> Column:

@@ -50,22 +50,22 @@ classify_views("tagged", "news", "news", "news_id, source, symbol, published")
 
 @query("news_events", "tagged", "SELECT news_id, event_type FROM tagged")
 def q_events(m):
-    return m.news.select("news_id", nw.event_type(nw.full_text()).alias("event_type"))
+    return nw.with_phrases(m.news).select("news_id", nw.event_type(F.col("found")).alias("event_type"))
 
 
 @query("news_sentiment", "tagged", "SELECT news_id, sentiment FROM tagged")
 def q_sentiment(m):
-    return m.news.select("news_id", nw.sentiment(nw.full_text()).alias("sentiment"))
+    return nw.with_phrases(m.news).select("news_id", nw.sentiment(F.col("found")).alias("sentiment"))
 
 
 @query("news_sectors", "tagged", "SELECT news_id, sectors FROM tagged")
 def q_sectors(m):
-    return m.news.select("news_id", F.array_join(nw.tagged(nw.full_text(), nw.SECTOR_WORDS), ",").alias("sectors"))
+    return nw.with_phrases(m.news).select("news_id", F.array_join(nw.tagged(F.col("found"), nw.SECTOR_WORDS), ",").alias("sectors"))
 
 
 @query("news_stocks", "tagged", "SELECT news_id, stocks FROM tagged")
 def q_stocks(m):
-    return m.news.select("news_id", F.array_join(nw.tagged(nw.full_text(), nw.stock_words()), ",").alias("stocks"))
+    return nw.with_phrases(m.news).select("news_id", F.array_join(nw.tagged(F.col("found"), nw.stock_words()), ",").alias("stocks"))
 
 
 @query("news_impact", "tagged", "SELECT news_id, impact FROM tagged")
@@ -100,11 +100,20 @@ def q_items(m):
                      F.array_join("sectors", ",").alias("sectors"), "impact").orderBy(F.desc("impact"), "page_id")
 
 
+@query("news_about", "page_tagged", """SELECT page_id, title, impact, stocks, sectors FROM page_tagged
+  WHERE (LIST_CONTAINS(STRING_SPLIT(stocks, ','), 'BEL') OR CONTAINS(LOWER(title), 'bel') OR CONTAINS(LOWER(body), 'bel')) AND (LIST_CONTAINS(STRING_SPLIT(LOWER(sectors), ','), 'it') OR CONTAINS(LOWER(title), 'it') OR CONTAINS(LOWER(body), 'it'))
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY COALESCE(NULLIF(REGEXP_REPLACE(LOWER(title), '[^\\p{L}\\p{N}]', '', 'g'), ''), title) ORDER BY impact DESC, url, page_id) = 1""")
+def q_about(m):
+    """The news job for one stock and one sector: filtered before titles are told apart."""
+    df = nw.dedupe_titles(nw.about(nw.classify(page_items(m)), "BEL", "IT"), "url", "page_id")
+    return df.select("page_id", "title", "impact", F.array_join("stocks", ",").alias("stocks"), F.array_join("sectors", ",").alias("sectors"))
+
+
 @query("sentiment_rollups", "tagged", """
 WITH d AS (SELECT symbol, published AS date, COUNT(*) AS mentions, SUM(CASE sentiment WHEN 'Bullish' THEN 1 WHEN 'Bearish' THEN -1 ELSE 0 END) AS total FROM tagged GROUP BY 1, 2)
 SELECT symbol, date, mentions, CAST(SUM(mentions) OVER w3 AS BIGINT) AS mentions_3d, R6(SUM(total) OVER w3 / CAST(SUM(mentions) OVER w3 AS DOUBLE)) AS sentiment_3d,
   CAST(SUM(mentions) OVER w7 AS BIGINT) AS mentions_7d, R6(SUM(total) OVER w7 / CAST(SUM(mentions) OVER w7 AS DOUBLE)) AS sentiment_7d FROM d
 WINDOW w3 AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW), w7 AS (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""")
 def q_rollups(m):
-    df = nw.sentiment_rollups(m.news.withColumn("sentiment", nw.sentiment(nw.full_text())))
+    df = nw.sentiment_rollups(nw.with_phrases(m.news).withColumn("sentiment", nw.sentiment(F.col("found"))))
     return df.withColumn("sentiment_3d", r6("sentiment_3d")).withColumn("sentiment_7d", r6("sentiment_7d"))

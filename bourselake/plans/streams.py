@@ -55,11 +55,19 @@ def q_anomaly(m):
     return sb.run_available(sb.ewm_anomalies(arriving(m)), sb.stream_folder(m.spark, "anomaly"))
 
 
-@query("stream_dedupe", "ticks", "SELECT symbol, event_type FROM ticks GROUP BY 1, 2")
+def in_batches(m: Market, folder: str, parts: int = 4):
+    """The event table as files in order of time, one batch each."""
+    events = m.spark.read.parquet(f"{m.root}/events.parquet")
+    events.repartitionByRange(parts, "ts", "event_id").write.parquet(f"{folder}/input")
+    return sb.ticks(m.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input"))
+
+
+@query("stream_dedupe", "ticks", "SELECT symbol, event_type, MAX(ts) AS ts, ARG_MAX(price, ROW(ts, event_id)) AS price, ARG_MAX(event_id, ROW(ts, event_id)) AS event_id FROM ticks GROUP BY 1, 2")
 def q_dedupe(m):
-    """All copies of a key arrive in one batch here, so one row per key is left."""
-    df = sb.run_available(sb.latest_once(arriving(m), ["symbol", "event_type"], "40 days"), sb.stream_folder(m.spark, "dedupe"))
-    return df.select("symbol", "event_type")
+    """The latest event per key over several batches."""
+    folder = sb.stream_folder(m.spark, "dedupe")
+    df = sb.upserted(in_batches(m, folder), folder, ["symbol", "event_type"], "struct(ts, event_id)")
+    return df.select("symbol", "event_type", naive("ts"), "price", "event_id")
 
 
 @query("stream_enrich", "ticks constituents", "SELECT c.sector, t.event_type, COUNT(*) AS n FROM ticks t JOIN constituents c USING (symbol) GROUP BY 1, 2")
@@ -70,16 +78,18 @@ def q_enrich(m):
 
 @query("stream_outcomes", "ticks", f"""
 WITH d AS (SELECT symbol, DATE_TRUNC('day', ts) + INTERVAL 1 DAY AS e, ARG_MAX(price, ts) AS close FROM ticks GROUP BY 1, DATE_TRUNC('day', ts)), b AS (SELECT * FROM d WHERE e <= {LIMIT})
-SELECT t.event_id, b.e AS "end", b.close FROM ticks t JOIN b ON b.symbol = t.symbol AND b.e BETWEEN t.ts + INTERVAL 5 DAY AND t.ts + INTERVAL 9 DAY WHERE t.event_type = 'purchase'""")
+SELECT t.event_id, b.e AS "end", b.close FROM ticks t JOIN b ON b.symbol = t.symbol AND b.e BETWEEN t.ts + INTERVAL 5 DAY AND t.ts + INTERVAL 9 DAY""")
 def q_outcomes(m):
     bars = sb.hourly_bars(arriving(m), size="1 day")
-    df = sb.run_available(sb.outcomes(arriving(m).filter("event_type = 'purchase'"), bars), sb.stream_folder(m.spark, "outcomes"))
+    df = sb.run_available(sb.outcomes(arriving(m), bars), sb.stream_folder(m.spark, "outcomes"))
     return df.select("event_id", naive("end"), "close")
 
 
-@query("resume", "ticks", "SELECT event_type, COUNT(*) AS n FROM ticks GROUP BY 1")
+@query("resume", "ticks", "SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids FROM ticks GROUP BY 1")
 def q_resume(m):
-    """Two runs over one checkpoint: the second finds nothing new."""
+    """A run that breaks off in its second batch, rows written but not committed, and one that goes on from there."""
     folder = sb.stream_folder(m.spark, "resume")
-    sb.run_available(arriving(m), folder)
-    return sb.run_available(arriving(m), folder).groupBy("event_type").agg(F.count("*").alias("n"))
+    stream = in_batches(m, folder)
+    sb.upserted(stream, folder, ["event_id"], "ts", fail_at=1)
+    df = sb.upserted(stream, folder, ["event_id"], "ts")
+    return df.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

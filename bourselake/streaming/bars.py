@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselake.session import shared_dir
@@ -60,21 +61,91 @@ def latest_once(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Dat
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_latest(spark: SparkSession, folder: str, keys: list[str], order: str):
-    """foreachBatch writer: merges each batch with the last version and writes the next one.
+BUCKETS = 32
 
-    Versions are numbered by batch, so a batch replayed after a failure rewrites its own version.
+
+def upsert_latest(spark: SparkSession, folder: str, keys: list[str], order: str | Column, buckets: int = BUCKETS):
+    """foreachBatch writer that keeps the latest row per key in a table of key buckets.
+
+    A batch rewrites only the buckets its keys fall into, as versions numbered by the batch; a manifest that names the
+    version of every bucket is written last. So a batch that is replayed after a failure, before or after its manifest,
+    writes the same again, and readers see whole batches only. Versions that neither this manifest nor the one before it
+    names are removed.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         columns = [c for c in batch.columns if c not in keys]
-        rows = batch
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/version={epoch - 1}"))
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
-        last.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/version={epoch}")
+        spark = batch.sparkSession  # a stream runs in a session of its own
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        before = manifest(spark, folder, epoch - 1)
+        touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # `buckets` numbers at most
+        paths = [version(folder, b, before[b]) for b in touched if b in before]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*paths)) if paths else batch
+        value = F.expr(order) if isinstance(order, str) else order
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), value).alias("r")).select(*keys, "r.*").select(*batch.columns)
+        dealt = last.withColumns({"bucket": bucket, "epoch": F.lit(epoch)})
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{folder}/data")
+        now = {**before, **dict.fromkeys(touched, epoch)}
+        spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/epoch={epoch}")
+        older = manifest(spark, folder, epoch - 2)
+        for b, v in older.items():
+            if v not in (before.get(b), now.get(b)):
+                remove(spark, version(folder, b, v))
     return write
 
 
+def version(folder: str, bucket: int, epoch: int) -> str:
+    return f"{folder}/data/bucket={bucket}/epoch={epoch}"
+
+
+def manifest(spark: SparkSession, folder: str, epoch: int | None = None) -> dict[int, int]:
+    """Version per bucket of the newest manifest, or of the newest up to an epoch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return {}
+    done = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(path)
+            if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    done = [e for e in done if epoch is None or e <= epoch]
+    if not done:
+        return {}
+    rows = spark.read.schema("bucket int, version int").parquet(f"{folder}/manifest/epoch={max(done)}").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def latest(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table as the newest manifest has it."""
+    paths = [version(folder, b, v) for b, v in manifest(spark, folder).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+class Interrupted(RuntimeError):
+    """Raised inside a batch to stand for a lost driver."""
+
+
+def upserted(stream: DataFrame, folder: str, keys: list[str], order: str, fail_at: int | None = None) -> DataFrame:
+    """Runs what has arrived into the table and reads it. `fail_at` breaks off within that batch, its rows written but not
+    committed; call again with the same folder to go on."""
+    spark = stream.sparkSession
+    put = upsert_latest(spark, folder, keys, order)
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        put(rows, epoch)
+        if epoch == fail_at:
+            raise Interrupted(f"batch {epoch}")
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if fail_at is None:
+            raise
+    return latest(spark, folder, stream.schema)
+
+
 def enrich(stream: DataFrame, constituents: DataFrame) -> DataFrame:
     """Stream-static join; the size-checked planner decides on broadcasting."""
     return stream.join(constituents, "symbol")

@@ -9,13 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from bourselake.functions import bands, interp
-from bourselake.operators import ideas, kalman, pairs, postmortem, signals as sg, statistics as st, universe as uni
+from bourselake.operators import ideas, kalman, news as nw, pairs, postmortem, signals as sg, statistics as st, universe as uni
 from bourselake.operators.backtest import require_anchor
 from bourselake.operators.options import implied_vol, price_quotes
 from bourselake.operators.recurrence import ewm
 from bourselake.operators.scorecard import scorecard
 from bourselake.sources import normalize as nz, readers
-from bourselake.streaming.bars import upsert_latest
+from bourselake.streaming.bars import latest, manifest, upsert_latest
 
 START = dt.date(2020, 1, 1)
 
@@ -234,13 +234,48 @@ def test_sources_fail_loudly(spark):
 
 
 def test_stream_upsert_keeps_latest(spark, tmp_path):
-    write = upsert_latest(spark, str(tmp_path), ["k"], "seq")
+    folder = str(tmp_path)
+    write = upsert_latest(spark, folder, ["k"], "seq", buckets=4)
     schema = "k string, seq int, v int"
-    write(spark.createDataFrame([("a", 1, 10), ("b", 1, 20)], schema), 0)
+
+    def now():
+        return {r.k: r.v for r in latest(spark, folder, schema).collect()}
+    write(spark.createDataFrame([("a", 1, 10), ("b", 1, 20), ("c", 9, 1)], schema), 0)
+    first = manifest(spark, folder)
     for _ in range(2):  # a replayed batch changes nothing
-        write(spark.createDataFrame([("a", 2, 11)], schema), 1)
-    got = {r.k: r.v for r in spark.read.parquet(f"{tmp_path}/version=1").collect()}
-    assert got == {"a": 11, "b": 20}
+        write(spark.createDataFrame([("a", 2, 11), ("c", 3, 5)], schema), 1)
+        assert now() == {"a": 11, "b": 20, "c": 1}
+    write(spark.createDataFrame([("b", 3, 21)], schema), 2)
+    write(spark.createDataFrame([("b", 4, 22)], schema), 3)
+    assert now() == {"a": 11, "b": 22, "c": 1}
+    # of each bucket no more than the last two versions are left
+    left = {p.parent.name: 0 for p in (tmp_path / "data").glob("bucket=*/epoch=*")}
+    for p in (tmp_path / "data").glob("bucket=*/epoch=*"):
+        left[p.parent.name] += 1
+    assert set(left) == {f"bucket={b}" for b in first} and max(left.values()) <= 2
+
+
+def test_level_equals_the_filter_step_by_step(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, i, float(x)) for s, n in (("A", 2200), ("B", 1), ("C", 30)) for i, x in enumerate(100 + np.cumsum(rng.normal(size=n)))]
+    df = spark.createDataFrame(rows, "symbol string, date int, close double")
+    got = {(r.symbol, r.date): r.level for r in kalman.local_level(df).collect()}
+    level, var = 0.0, 1.0
+    for s, i, x in rows:
+        level, var = (x, 1.0) if i == 0 else (level, var + 0.01)
+        gain = var / (var + 1)
+        level, var = level + gain * (x - level), var * (1 - gain)
+        assert got[s, i] == pytest.approx(level, abs=1e-8)
+    assert len(got) == len(rows)
+
+
+def test_phrases_are_found_as_substrings(spark):
+    table = {"a": ["it", "ITC", "hdfc bank", "HDFC", "s&p 500", "l&t", "52-week low", "low"], "b": ["bank", "ban"]}
+    texts = ["", "with itc and hdfc banks", "S&P 500 hit a 52-week lowest", "bandit l&tt", "hdfcbank", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    phrases = nw.Phrases(table)
+    for r in df.select("t", phrases.found(F.lower("t")).alias("f")).collect():
+        assert r.f is None if r.t is None else sorted(r.f) == sorted(w for w in phrases.words if w in r.t.lower())
 
 
 def first_fit(rows, overlap=0.75):
