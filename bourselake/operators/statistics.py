@@ -10,34 +10,41 @@ from pyspark.sql import functions as F
 from bourselake.functions import safe_div
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float], bins: int = 2048) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float], rounds: int = 2, cells: int = 256) -> DataFrame:
     """Linearly interpolated exact quantiles, one column q_0, q_1, .. per probability.
 
-    Pass one counts rows per equal-width bin; the wanted ranks name a few bins, and only their
-    distinct values are ordered in pass two.
+    Every wanted rank has a bracket of values, at first all. A round takes `cells` splitters from the values inside the
+    bracket, by a mergeable sketch, and keeps the three cells around the rank: far more than the sketch may err, and about
+    the same number of rows whatever the values are. The values of the last brackets alone are put in order, each value
+    once with its count.
     """
     x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    ends = x.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    binned = x.join(ends, "g").withColumn("b", slot)
-    counts = binned.groupBy("g", "b").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    reach = counts.withColumn("upto", F.sum("c").over(w)).withColumn("before", F.col("upto") - F.col("c"))
-    ranks = ends.select("g", F.explode(F.array(*[F.struct(
+    sizes = x.groupBy("g").agg(F.count("*").alias("n"))
+    ranks = sizes.select("g", F.explode(F.array(*[F.struct(
         F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)])).alias("r"))
     ranks = ranks.select("g", "r.i", "r.at", F.explode(F.array(F.floor("r.at"), F.ceil("r.at"))).alias("k")).distinct()
-    wanted = ranks.join(reach, "g").filter((F.col("k") >= F.col("before")) & (F.col("k") < F.col("upto"))).select(
-        "g", "i", "at", "k", "b", "before")
-    inside = binned.select("g", "b", "v").join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi")
-    values = inside.groupBy("g", "b", "v").agg(F.count("*").alias("c"))
-    wv = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("top", F.sum("c").over(wv)).withColumn("bottom", F.col("top") - F.col("c"))
-    hit = wanted.join(values, ["g", "b"]).filter((F.col("k") - F.col("before") >= F.col("bottom")) & (
-        F.col("k") - F.col("before") < F.col("top")))
+    brackets = ranks.select("g", "k").distinct().withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    grid = [c / cells for c in range(1, cells)]
+    for _ in range(rounds):
+        seen = x.join(brackets, "g").groupBy("g", "k", "lo", "hi").agg(
+            F.count_if(F.col("v") < F.col("lo")).alias("before"), F.count_if(inside).alias("c"),
+            F.percentile_approx(F.when(inside, F.col("v")), grid, 40 * cells).alias("s"))
+        cell = F.floor((F.col("k") - F.col("before")) * cells / F.col("c")).cast("int")
+        brackets = seen.select("g", "k", F.greatest("lo", F.coalesce(F.get("s", cell - 2), F.col("lo"))).alias("lo"),
+                               F.least("hi", F.coalesce(F.get("s", cell + 1), F.col("hi"))).alias("hi"))
+    near = x.join(brackets, "g")
+    before = near.groupBy("g", "k").agg(F.count_if(F.col("v") < F.col("lo")).alias("before"))
+    values = near.filter(inside).groupBy("g", "k", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("g", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("top", F.sum("c").over(w)).join(before, ["g", "k"])
+    place = F.col("k") - F.col("before")
+    hit = ranks.join(values.filter((place >= F.col("top") - F.col("c")) & (place < F.col("top"))), ["g", "k"], "left")
+    # a rank outside its bracket would be an error of the sketch: fail rather than answer wrongly
+    found = F.when(F.col("v").isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(F.col("v"))
     share = F.when(F.col("k") == F.floor("at"), F.lit(1.0) - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
     # a whole rank is one row with weight one
-    q = hit.groupBy("g", "i").agg(F.sum(F.col("v") * share).alias("q"))
+    q = hit.groupBy("g", "i").agg(F.sum(found * share).alias("q"))
     return q.groupBy(F.col("g").alias(group)).agg(*[
         F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q_{i}") for i in range(len(probs))])
 

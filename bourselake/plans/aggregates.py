@@ -369,24 +369,25 @@ def q_percentile(m):
     return df.select("symbol", "current", r4("percentile").alias("percentile"), r4("mid_percentile").alias("mid_percentile"))
 
 
-add_view("leaders", "constituents", """SELECT c.symbol AS y, l.x FROM constituents c JOIN (SELECT sector, MIN(symbol) AS x FROM constituents GROUP BY sector) l USING (sector) WHERE c.symbol <> l.x""")
-add_view("hedge", "bars leaders", """
-WITH j AS (SELECT p.y, p.x, a.date, a.close AS vy, b.close AS vx FROM leaders p JOIN bars a ON a.symbol = p.y JOIN bars b ON b.symbol = p.x AND a.date = b.date),
+REVERTS = -1.0  # Dickey-Fuller statistic up to which a pair's spread is followed
+add_view("chosen_pairs", "screen", f"SELECT a AS y, b AS x FROM screen WHERE df_t <= {REVERTS}")
+add_view("hedge", "bars chosen_pairs", """
+WITH j AS (SELECT p.y, p.x, a.date, a.close AS vy, b.close AS vx FROM chosen_pairs p JOIN bars a ON a.symbol = p.y JOIN bars b ON b.symbol = p.x AND a.date = b.date),
 f AS (SELECT y, x, REGR_SLOPE(vy, vx) AS hedge_ratio, REGR_INTERCEPT(vy, vx) AS intercept FROM j GROUP BY 1, 2)
 SELECT j.*, hedge_ratio, vy - hedge_ratio * vx - intercept AS spread FROM j JOIN f USING (y, x)""")
 YX = "PARTITION BY y, x ORDER BY date"
 
 
-def leader_pairs(m):
-    """Each member paired with the alphabetically first member of its sector: linear in members."""
-    first = m.constituents.groupBy("sector").agg(F.min("symbol").alias("x"))
-    return m.constituents.join(first, "sector").filter("symbol <> x").select(F.col("symbol").alias("y"), "x")
+def chosen_pairs(m):
+    """The pairs of the screen of all symbols whose spread returns to its mean."""
+    screened = pairs.pair_spread_stats(m.bars, "close").filter(r4("df_t") <= REVERTS)
+    return screened.select(F.col("a").alias("y"), F.col("b").alias("x"))
 
 
 @query("spread_z", "hedge", f"""SELECT y, x, date, R4(hedge_ratio) AS hedge_ratio, R4(spread) AS spread, R4(z) AS z, COALESCE(ABS(z) > 2, FALSE) AS extreme
   FROM (SELECT *, (spread - {avg('spread', 20, by=YX)}) / NULLIF({std('spread', 20, by=YX)}, 0) AS z FROM hedge)""")
 def q_spread(m):
-    df = rel.hedge_spread(leader_pairs(m), m.bars)
+    df = rel.hedge_spread(chosen_pairs(m), m.bars)
     return df.select("y", "x", "date", r4("hedge_ratio").alias("hedge_ratio"), r4("spread").alias("spread"),
                      r4("z").alias("z"), yes(F.abs("z") > 2).alias("extreme"))
 
@@ -394,7 +395,7 @@ def q_spread(m):
 @query("half_life", "hedge", f"""SELECT y, x, n, R4(-LN(2) / NULLIF(slope, 0)) AS half_life FROM (SELECT y, x, COUNT(step) AS n, REGR_SLOPE(step, lg) AS slope
   FROM (SELECT *, spread - {lag('spread', by=YX)} AS step, {lag('spread', by=YX)} AS lg FROM hedge) GROUP BY 1, 2)""")
 def q_half_life(m):
-    df = rel.half_life(rel.hedge_spread(leader_pairs(m), m.bars))
+    df = rel.half_life(rel.hedge_spread(chosen_pairs(m), m.bars))
     return df.select("y", "x", "n", r4("half_life").alias("half_life"))
 
 

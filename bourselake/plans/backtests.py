@@ -357,13 +357,16 @@ def q_pca(m):
     return bt.pca_factors(r.groupBy("date").pivot("sector", names).agg(F.max("r")), names)
 
 
-@query("pairs_screen", "bars", """
+add_view("screen", "bars", """
 WITH j AS (SELECT a.symbol AS a, b.symbol AS b, a.date, a.close AS y, b.close AS x FROM bars a JOIN bars b ON a.date = b.date AND a.symbol < b.symbol),
 f AS (SELECT a, b, COUNT(*) AS n, REGR_SLOPE(y, x) AS beta, REGR_INTERCEPT(y, x) AS alpha FROM j GROUP BY 1, 2 HAVING COUNT(*) >= 60),
 s AS (SELECT j.a, j.b, date, y - beta * x - alpha AS sp FROM j JOIN f USING (a, b)),
 l AS (SELECT *, LAG(sp) OVER (PARTITION BY a, b ORDER BY date) AS lg FROM s),
 r AS (SELECT a, b, COUNT(lg) AS k, REGR_SLOPE(sp - lg, lg) AS slope, REGR_SXX(sp - lg, lg) AS sxx, REGR_SYY(sp - lg, lg) AS syy, REGR_SXY(sp - lg, lg) AS sxy FROM l WHERE lg IS NOT NULL GROUP BY 1, 2)
 SELECT a, b, n, R4(beta) AS hedge_ratio, R2(-LN(2) / slope) AS half_life, R4(slope / SQRT((syy - sxy * sxy / sxx) / (k - 2) / sxx)) AS df_t FROM f JOIN r USING (a, b)""")
+
+
+@query("pairs_screen", "screen", "SELECT * FROM screen")
 def q_screen(m):
     from bourselake.functions import r2
     df = pairs.pair_spread_stats(m.bars, "close")
@@ -382,5 +385,5 @@ def q_kalman(m):
 
 @query("kalman_hedge")
 def q_kalman_hedge(m):
-    from bourselake.plans.aggregates import leader_pairs
-    return kalman.dynamic_hedge(rel.hedge_spread(leader_pairs(m), m.bars).select("y", "x", "date", "vy", "vx"))
+    from bourselake.plans.aggregates import chosen_pairs
+    return kalman.dynamic_hedge(rel.hedge_spread(chosen_pairs(m), m.bars).select("y", "x", "date", "vy", "vx"))
