@@ -369,7 +369,7 @@ def q_percentile(m):
     return df.select("symbol", "current", r4("percentile").alias("percentile"), r4("mid_percentile").alias("mid_percentile"))
 
 
-REVERTS = -1.0  # Dickey-Fuller statistic up to which a pair's spread is followed
+REVERTS = -2.0  # Dickey-Fuller statistic up to which a pair's spread is followed
 add_view("chosen_pairs", "screen", f"SELECT a AS y, b AS x FROM screen WHERE df_t <= {REVERTS}")
 add_view("hedge", "bars chosen_pairs", """
 WITH j AS (SELECT p.y, p.x, a.date, a.close AS vy, b.close AS vx FROM chosen_pairs p JOIN bars a ON a.symbol = p.y JOIN bars b ON b.symbol = p.x AND a.date = b.date),
