@@ -27,6 +27,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to the Python workers a few MB at a time: a batch lies in memory four times, in and out on both sides.
+
+    Sizes that the session has set itself stay.
+    """
+    for key, usual, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
+
+
 def text_of(name: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

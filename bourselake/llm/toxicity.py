@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import bucket5, let, pieces, text_of, written
+from bourselake.llm.common import bucket5, let, pieces, small_batches, text_of, written
 
 TOKEN = re.compile(r"[^\W_]+")
 TOKEN_JAVA = r"[^\p{L}\p{N}]+"
@@ -234,4 +234,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> Column:
     texts get the score of a text without known words. Without labels of both kinds no word is known and all scores are equal.
     An empty table gives no rows; very long texts are scored whole.
     """
+    small_batches(docs.sparkSession)
     return scorer(learn(docs, labels, **options))(F.col("text").cast("string"))
