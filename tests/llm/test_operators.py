@@ -1,6 +1,8 @@
 """Every operator on odd small tables, against plain versions."""
+import math
 import random
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -252,6 +254,43 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none.withColumnRenamed("key", "path")).count() == 0
 
 
+def test_license_windows_against_plain_cosines(spark):
+    """Licence files, wrapped headers, tags and notices inside lines; every file's best cosine by plain counting."""
+    text = {(n, k): t for n, k, t in licenses.TEMPLATES}
+    mit, gpl = text["MIT", "file"], text["GPL-3.0", "header"]
+    wrapped = "\n".join(" * " + " ".join(gpl.split()[i:i + 7]) for i in range(0, 60, 7))
+    files = {"m/LICENSE": "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit, "n/x": PROSE + "\n" + mit + " " + PROSE, "g/a.c": "/*\n" + wrapped + "\n */\nint main() {}",
+             "s/a.py": "# SPDX-License-Identifier: MIT\nprint(1)", "z/b.py": "# SPDX-License-Identifier: ISC\nprint(1)", "i/a.md": PROSE + ". Released under the MIT License. " + PROSE,
+             "t/COPYING": "GNU GENERAL PUBLIC LICENSE\n" + PROSE, "t/late": PROSE + " GNU GENERAL PUBLIC LICENSE", "r/r": "Licensed under CC BY 4.0. " * 5,
+             "p/p": "permission software license the of " * 40, "e": "", "q/q": PROSE, "h/h": gpl.replace("free software", "open code")}
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert {p: got[p].license for p in files} == {"m/LICENSE": "MIT", "n/x": "MIT", "g/a.c": "GPL-3.0", "s/a.py": "MIT", "z/b.py": None, "i/a.md": "MIT", "t/COPYING": "GPL-3.0",
+                                                  "t/late": "GPL-3.0", "r/r": "CC-BY-4.0", "p/p": None, "e": None, "q/q": None, "h/h": "GPL-3.0"}
+    bags = {p: licenses.py_terms(t) for p, t in files.items()}
+    n = len(files)
+    df = Counter(t for b in bags.values() for t in set(b))
+    idf = lambda t: math.log((n + 1) / (df[t] + 1)) + 1
+    vocabulary = {t for _, _, x in licenses.TEMPLATES for t in licenses.py_terms(x)}
+    top = math.log(n + 1) + 1
+    vector = lambda words: {t: c * (idf(t) if t in vocabulary else top) for t, c in Counter(words).items()}
+    for p, words in bags.items():
+        best = 0.0
+        for _, kind, x in licenses.TEMPLATES:
+            mine = licenses.py_terms(x)
+            u, windows = vector(mine), {(0, len(words))} if len(words) <= 4 * len(mine) else set()
+            windows |= {(max(a - b, 0), min(a - b + len(mine), len(words))) for a, w in enumerate(words) for b, m in enumerate(mine) if w == m}
+            for a, b in windows:
+                v = vector(words[a:b])
+                size = math.sqrt(sum(z * z for z in u.values()) * sum(z * z for z in v.values()))
+                cosine = sum(z * v.get(t, 0.0) for t, z in u.items()) / size if size else 0.0
+                if cosine >= licenses.limit_of(kind, 0.8) and (kind != "title" or a == 0):
+                    best = max(best, cosine)
+        if got[p].origin == "own":
+            assert abs(got[p].cosine - best) < 1e-6, p
+        else:
+            assert best == 0.0, p
+
+
 def test_bpe(docs, rows, none):
     import public_tokenizers as files
     from tokenizers import Tokenizer
