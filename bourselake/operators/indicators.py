@@ -330,21 +330,41 @@ def ffill_asof(left: DataFrame, right: DataFrame, value: str, out: str) -> DataF
     return left.join(filled, "date", "left")
 
 
+def sliding_rank(df: DataFrame, value: str, window: int, out: str, bins: int = 16) -> DataFrame:
+    """Rank of a value among the last `window` rows of its symbol, over their number; ties share the middle of their range.
+
+    Null until the window is full of values. A symbol's values are cut into bins of about equal size. Rows in lower bins are
+    differences of running counts, constant work per row; only rows of the same bin are compared one by one.
+    """
+    whole = Window.partitionBy("symbol")
+    until = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    gone = whole.orderBy("date").rowsBetween(Window.unboundedPreceding, -window)
+
+    def recent(what: Column) -> Column:
+        return F.count(what).over(until) - F.count(what).over(gone)
+
+    edges = F.percentile_approx(value, [i / bins for i in range(1, bins)], 1000).over(whole)
+    df = df.withColumn("_edges", edges).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    df = df.withColumn("_row", F.row_number().over(whole.orderBy("date"))).withColumn("_full", recent(F.col(value)))
+    df = df.select("*", *[recent(F.when((F.col("_bin") == b) & F.col(value).isNotNull(), 1)).alias(f"_in{b}") for b in range(bins - 1)])
+    lower = sum((F.when(F.col("_bin") > b, F.col(f"_in{b}")).otherwise(0) for b in range(bins - 1)), F.lit(0))
+    df = df.withColumn("_lower", lower).drop(*[f"_in{b}" for b in range(bins - 1)])
+    near = Window.partitionBy("symbol", "_bin").orderBy("_row").rangeBetween(-(window - 1), 0)
+    df = df.withColumn("_near", F.collect_list(value).over(near))
+    below = F.size(F.filter("_near", lambda v: v < F.col(value)))
+    upto = F.size(F.filter("_near", lambda v: v <= F.col(value)))
+    rank = (2 * F.col("_lower") + below + upto + 1) / F.lit(2.0) / window
+    return df.withColumn(out, F.when(F.col("_full") == window, rank)).drop("_bin", "_row", "_full", "_lower", "_near")
+
+
 def with_ewma_vol(df: DataFrame, decay: float = 0.94, window: int = YEAR) -> DataFrame:
     """Conditional volatility of percent returns, its percentile in a year and the surprise."""
     from bourselake.operators.recurrence import ewm
     df = df.withColumn("_r", change("close") * 100).withColumn("_r2", F.col("_r") * F.col("_r"))
     df = ewm(df, {"_var": "_r2"}, 1 - decay).withColumn("cond_vol", F.sqrt("_var"))
-    history = F.collect_list("cond_vol").over(trailing(window))
-    current = F.col("cond_vol")
-    df = df.withColumn("_h", history)
-    at_or_below = F.size(F.filter("_h", lambda v: v <= current))
-    below = F.size(F.filter("_h", lambda v: v < current))
-    # rank of a value that is itself in the window: ties share the middle of their range
-    rank = (below + at_or_below + 1) / F.lit(2.0) / F.size("_h")
-    return (df.withColumn("vol_percentile", F.when(F.size("_h") == window, rank))
-            .withColumn("vol_surprise", F.abs("_r") - F.col("cond_vol"))
-            .drop("_r", "_r2", "_var", "_h"))
+    df = sliding_rank(df, "cond_vol", window, "vol_percentile")
+    return (df.withColumn("vol_surprise", F.abs("_r") - F.col("cond_vol"))
+            .drop("_r", "_r2", "_var"))
 
 
 def dry_up_score(ratio) -> Column:

@@ -118,6 +118,89 @@ def growth_metrics(long: DataFrame, spans: Sequence[int] = (3,)) -> DataFrame:
     return df
 
 
+# -- walk-forward model ---------------------------------------------------------------------------
+RANKS = 4096  # rows of one bucket of a hash order, on average
+
+
+def hash_rank(df: DataFrame, keys: Sequence[str], seed: int, out: str, size: int = RANKS) -> DataFrame:
+    """Position 0 .. n-1 of every row in the order of a hash of its keys; the keys must tell the rows apart.
+
+    The order is cut into ranges of the hash, ranked one by one; the ranges before add up to the offset, so that only one
+    row per range enters a window without partitions.
+    """
+    # the high bits of the hash are the range, so ranges follow one another in the order of the hash
+    parts = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("double").alias("n")).scalar()
+    mixed = F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), 1)
+    held = df.withColumn("_h", mixed).withColumn("_range", F.floor(F.col("_h") / F.lit(2.0 ** 63) * parts).cast("long"))
+    within = Window.partitionBy("_range").orderBy("_h", *keys)
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("_k", F.row_number().over(within)).join(sizes.select("_range", before.alias("_before")), "_range")
+    return held.withColumn(out, F.col("_before") + F.col("_k") - 1).drop("_h", "_range", "_k", "_before")
+
+
+def shuffled(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int = 42) -> DataFrame:
+    """Every row with the `columns` of another row beside its own, as `<name>_other`: one permutation of all rows.
+
+    Two hash orders of the same rows are joined on their positions, so the result depends on the keys and the seed alone, not
+    on partitions or row order, and every row gives its values exactly once.
+    """
+    takers = hash_rank(df, keys, seed, "_at")
+    givers = hash_rank(df.select(*keys, *[F.col(c).alias(f"{c}_other") for c in columns]), keys, seed + 1, "_at").drop(*keys)
+    return takers.join(givers, "_at").drop("_at")
+
+
+def area_under_curve(scored: DataFrame, group: str, label: str, score: str) -> DataFrame:
+    """AUC per group, ties by half; null where one class is missing. Rows are counted per distinct score first."""
+    per = scored.groupBy(group, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("wins", F.col("p") * (below + F.col("q") / 2))
+    return per.groupBy(group).agg(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def permutation_importance(model, test: DataFrame, keys: Sequence[str], names: Sequence[str], label: str = "label") -> DataFrame:
+    """feature, auc, importance: what the AUC of a fitted model loses when one feature is shuffled over the test rows.
+
+    The model is not fitted again; all features are scored in one pass, `none` is the unchanged table. Rows without a value
+    take no part. One distinct score per row at worst enters the window of its feature.
+    """
+    from pyspark.ml.functions import vector_to_array
+    both = shuffled(test.select(*keys, label, *names).dropna(), keys, names)
+    cases = [F.struct(F.lit("none").alias("feature"), *[F.col(n).cast("double").alias(n) for n in names])]
+    cases += [F.struct(F.lit(f).alias("feature"), *[F.col(f"{n}_other" if n == f else n).cast("double").alias(n) for n in names]) for f in names]
+    rows = both.select(label, F.explode(F.array(*cases)).alias("c")).select(label, "c.*")
+    scored = model.transform(rows).withColumn("_score", vector_to_array("probability")[1])
+    auc = area_under_curve(scored, "feature", label, "_score")
+    base = auc.where("feature = 'none'").agg(F.max("auc")).scalar()
+    return auc.select("feature", "auc", (base - F.col("auc")).alias("importance"))
+
+
+def boosted(names: Sequence[str], trees: int):
+    """Scaler and boosted trees on the named columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+                            GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, seed=42)])
+
+
+def by_date(features: DataFrame, columns: Sequence[str], train_share: float) -> tuple[DataFrame, DataFrame]:
+    """Complete rows of the first dates and of the rest."""
+    df = features.select(*columns).dropna()
+    day = F.unix_date("date")
+    last = df.select("date").distinct().agg(F.percentile(day, F.lit(train_share)).cast("int")).scalar()
+    return df.filter(day <= last), df.filter(day > last)
+
+
+def walk_forward_importance(features: DataFrame, names: Sequence[str], label: str = "target", keys: Sequence[str] = ("symbol", "date"),
+                            train_share: float = 0.7, trees: int = 10) -> DataFrame:
+    """Boosted trees on the first dates; permutation importance of each feature on the last dates."""
+    from bourselake.session import cut_lineage
+    held = features.withColumn("label", F.col(label).cast("double"))
+    train, test = by_date(cut_lineage(held.select(*keys, "label", *names)), [*keys, "label", *names], train_share)
+    return permutation_importance(boosted(names, trees).fit(train), test, keys, names)
+
+
 def walk_forward_ml(features: DataFrame, categories: dict[str, list[str]], label: str = "target",
                     train_share: float = 0.7, trees: int = 10) -> DataFrame:
     """Boosted trees on the first dates, scored on the last; once whole and once without each

@@ -62,11 +62,24 @@ def q_summary(m):
     return st.assumption_summary(lines(m), G, V, X).withColumn("figure", r4("figure"))
 
 
-@query("walk_forward_ml")
-def q_ml(m):
-    """Five-bar direction from technical, cross-asset and seasonal features."""
+FEATURES = {"technical": ["ret_5d", "ret_20d", "price_vs_ma50", "vol_ratio", "rsi_sma", "drawdown"],
+            "cross_asset": ["proxy_5d", "signal_x_momentum"], "seasonal": ["month", "day_of_week"]}
+
+
+def labelled(m):
+    """Five-bar direction with technical, cross-asset and seasonal features."""
     df = ind.technical_features(m.bars).withColumn("target", (safe_div(lagged("close", -5), "close") - 1 > 0).cast("int"))
     df = ind.ffill_asof(df, m.bench_index, "close", "proxy")
-    df = ser.seasonal_interaction(df).withColumn("proxy_5d", ind.change("proxy", 5))
-    return st.walk_forward_ml(df, {"technical": ["ret_5d", "ret_20d", "price_vs_ma50", "vol_ratio", "rsi_sma", "drawdown"],
-                                   "cross_asset": ["proxy_5d", "signal_x_momentum"], "seasonal": ["month", "day_of_week"]})
+    return ser.seasonal_interaction(df).withColumn("proxy_5d", ind.change("proxy", 5))
+
+
+@query("walk_forward_ml")
+def q_ml(m):
+    return st.walk_forward_ml(labelled(m), FEATURES)
+
+
+@query("walk_forward_importance")
+def q_importance(m):
+    """What the AUC on the last dates loses when one feature is shuffled."""
+    df = st.walk_forward_importance(labelled(m), [n for group in FEATURES.values() for n in group])
+    return df.select("feature", r6("auc").alias("auc"), r6("importance").alias("importance"))

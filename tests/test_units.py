@@ -325,3 +325,46 @@ def test_stream_anomalies_equal_brute_force(spark):
             mean, var = (price, 0.0) if n == 0 else (mean + 0.06 * d, 0.94 * (var + 0.06 * d * d))
             n += 1
     assert want and got == pytest.approx(want)
+
+
+def test_hash_rank_is_one_permutation(spark):
+    """Positions are 0 .. n-1 once each, whatever the buckets and partitions; a shuffle gives every value once."""
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = [{r.k: r.at for r in st.hash_rank(df.repartition(n), ["k"], 7, "at", size).collect()} for n, size in ((1, 10_000), (5, 20), (3, 1))]
+    assert got[0] == got[1] == got[2] and sorted(got[0].values()) == list(range(500))
+    rows = st.shuffled(df.repartition(4), ["k"], ["v"]).collect()
+    assert sorted(r.v_other for r in rows) == [2 * i for i in range(500)] and sum(r.v == r.v_other for r in rows) < 10
+    assert st.shuffled(df.limit(0), ["k"], ["v"]).count() == 0
+    assert [(r.v, r.v_other) for r in st.shuffled(df.where("k = 3"), ["k"], ["v"]).collect()] == [(6, 6)]
+
+
+def test_area_under_curve_counts_pairs(spark):
+    rows = [(g, float(y), s) for g, ys in (("a", [(1, .9), (0, .9), (0, .1), (1, .4), (0, .5)]), ("b", [(1, .2)])) for y, s in ys]
+    got = {r.g: r.auc for r in st.area_under_curve(spark.createDataFrame(rows, "g string, y double, s double"), "g", "y", "s").collect()}
+    pos, neg = [.9, .4], [.9, .1, .5]
+    want = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / 6
+    assert got["b"] is None and abs(got["a"] - want) < 1e-12
+
+
+def test_permutation_importance_finds_the_feature_that_decides(spark):
+    """Only x decides the label; shuffling noise or a constant changes next to nothing."""
+    df = spark.range(600).select(F.col("id").cast("string").alias("symbol"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("date"),
+                                 F.rand(1).alias("x"), F.rand(2).alias("noise"), F.lit(1.0).alias("flat")).withColumn("target", (F.col("x") > 0.5).cast("int"))
+    got = {r.feature: r for r in st.walk_forward_importance(df, ["x", "noise", "flat"], trees=2).collect()}
+    assert set(got) == {"none", "x", "noise", "flat"} and got["none"].importance == 0 and got["flat"].importance == 0
+    assert got["none"].auc > 0.98 and got["x"].importance > 0.3 and abs(got["noise"].importance) < 0.05
+
+
+def test_sliding_rank_with_ties_and_gaps(spark):
+    """Against sorting each window; ties share their ranks, a window with a null has none."""
+    from bourselake.operators.indicators import sliding_rank
+    rng = np.random.default_rng(3)
+    rows = [(s, START + dt.timedelta(days=i), None if s == "B" and i % 40 == 7 else float(rng.integers(0, 12))) for s in "AB" for i in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, date date, v double").repartition(3)
+    got = {(r.symbol, r.date): r.p for r in sliding_rank(df, "v", 9, "p", bins=4).collect()}
+    for s in "AB":
+        mine = [r for r in rows if r[0] == s]
+        for i, (_, d, v) in enumerate(mine):
+            last = [x[2] for x in mine[max(0, i - 8):i + 1]]
+            want = None if len(last) < 9 or None in last else (sum(x < v for x in last) + sum(x <= v for x in last) + 1) / 2 / 9
+            assert got[s, d] == want or abs(got[s, d] - want) < 1e-12
