@@ -38,18 +38,21 @@ class Scan:
         self.hints = hints(m)
 
 
-def hints(m: Market):
-    """Hints from the news of the ten days before the scan; English ones name no symbol."""
+def hints(m: Market, days: int | None = None):
+    """Hints from the news up to the scan date, of the last `days` alone if given; English ones name no symbol."""
     family = F.element_at(F.array(*[F.lit(f) for f in HINT_FAMILIES]), (F.col("news_id") % 3 + 1).cast("int"))
-    return m.news.filter(F.col("published").between(
-        F.date_sub(F.lit(AS_OF).cast("date"), 10), F.lit(AS_OF).cast("date"))).select(
+    as_of = F.lit(AS_OF).cast("date")
+    known = m.news.filter(F.col("published") <= as_of)
+    if days is not None:
+        known = known.filter(F.col("published") >= F.date_sub(as_of, days))
+    return known.select(
         "news_id", "title", family.alias("entry_family"),
         F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array("symbol")).alias("symbols"))
 
 
 ON = f"DATE '{AS_OF}'"
 add_view("hints", "news", f"""SELECT news_id, title, CASE news_id % 3 WHEN 0 THEN 'pivot_breakout' WHEN 1 THEN 'gap_up_continuation' ELSE 'panic_reversal' END AS entry_family,
-  CASE WHEN lang = 'en' THEN NULL ELSE symbol END AS symbol FROM news WHERE published BETWEEN {ON} - 10 AND {ON}""")
+  CASE WHEN lang = 'en' THEN NULL ELSE symbol END AS symbol FROM news WHERE published <= {ON}""")
 add_view("boost", "hints", "SELECT entry_family, symbol, SUM(CASE WHEN symbol IS NULL THEN 6 ELSE 12 END) AS points, COUNT(*) AS n FROM hints GROUP BY 1, 2")
 add_view("today", "features", f"""
 WITH t AS (SELECT * FROM features WHERE date = {ON} AND close >= 5 AND vol_avg20 >= 10 AND ma50 IS NOT NULL AND ma200 IS NOT NULL)
