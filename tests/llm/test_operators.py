@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -131,6 +132,24 @@ def test_near_copies_by_shingles(spark, docs, rows, none, hot):
         assert sorted_rows(staged.select("doc_id"), "doc_id") == sorted(((d,) for d in want), key=repr)
 
 
+def test_sketches_keep_similar_pairs(spark):
+    """No pair of sets with the similarity goes, at equal and at neighbouring widths; far pairs go."""
+    seed = np.random.default_rng(5)
+    made, pairs = [], []
+    for n in (1, 5, 60, 66, 130, 250, 260, 1000, 1030):
+        for drop in (0, 1, n // 20, n // 9, n // 5, n // 2, n):
+            base = seed.integers(0, 1 << 63, n, dtype=np.uint64)
+            other = np.concatenate([base[drop:], seed.integers(0, 1 << 63, drop // 3, dtype=np.uint64)])
+            made += [np.unique(base), np.unique(other)]
+            pairs.append((len(made) - 2, len(made) - 1))
+    rows = [(i, len(s), [int(w) for w in shingles.sketch(s)]) for i, s in enumerate(made)]
+    sketches = spark.createDataFrame(rows, "key long, n int, bits array<bigint>")
+    kept = {tuple(r) for r in shingles.close(spark.createDataFrame(pairs, "a long, b long"), sketches, 80).collect()}
+    alike = {(a, b) for a, b in pairs
+             if 180 * len(np.intersect1d(made[a], made[b])) >= 80 * (len(made[a]) + len(made[b]))}
+    assert alike <= kept and len(alike) > 20 and len(set(pairs) - kept) > 10
+
+
 def test_lm(docs, rows, none):
     got = sorted((tuple(r) for r in lm.lm_scores(docs, table_words=40).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4)).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in sorted(((d, *b[:4], round(b[4], 4)) for (d, _), b in zip(rows, brute.base_lm(rows))), key=repr)]
