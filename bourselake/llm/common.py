@@ -38,6 +38,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of `df` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        made.append(name)
+        taken.add(name)
+    return made
+
+
 def text_of(name: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -93,7 +93,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, name: str, block: int =
 
     Every item is searched for in every whole text. The tables that travel to the workers hold at most `block` items at
     a time; a larger benchmark is searched in several passes over the documents, cut by checkpoints. Null texts have no
-    words, null item ids count as empty ids, repeated items are the same item. Other columns pass through.
+    words, null item ids count as empty ids, repeated items are the same item. Other columns pass through;
+    one of the result's name is replaced. An empty table gives no rows.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string")
                              ).distinct().orderBy("item", "text")

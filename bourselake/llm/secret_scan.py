@@ -44,7 +44,7 @@ def steps_of(token: Column) -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    text = docs.select("*", text_of("text").alias("_text"))
+    text = docs.drop("_text", "_tokens", "_random", *[f"_{kind}" for kind in PATTERNS]).select("*", text_of("text").alias("_text"))
     return text.select("*", *[base_spans(F.col("_text"), kind).alias(f"_{kind}") for kind in PATTERNS],
                        F.when(F.col("_text").rlike("[A-Za-z0-9+/_=-]{20}"), spans_of(F.col("_text"), TOKEN)).otherwise(no_spans()).alias("_tokens"))
 
@@ -91,7 +91,8 @@ def secrets(docs: DataFrame, threshold: float = 0.5, random_rows: int = 4096) ->
     """`docs` with span arrays _assign, _access, _hex, _random (and _text, the text with null as empty).
 
     `_random` holds the tokens of 20 characters or more, outside the pattern spans, whose log-likelihood ratio per
-    transition reaches `threshold`. Whole texts are scanned; repeated rows get equal results; columns pass through.
+    transition reaches `threshold`. Whole texts are scanned; repeated rows get equal results; an empty table gives no rows.
+    Columns pass through, but for those named like a result or `_tokens`, which the results replace.
     """
     found = with_base(docs)
     ratio = ratios(found, random_rows)

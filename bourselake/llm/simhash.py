@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from bourselake.llm.common import raw_texts, written
+from bourselake.llm.common import fresh, raw_texts, written
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -246,18 +246,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` less near duplicates: of each component the row with the smallest doc_id (null last) stays.
 
-    Of repeated rows with that id one stays, the one with the smallest text.
+    Of repeated rows with that id one stays, the one with the smallest text. An empty table gives no rows; other columns pass
+    through, whatever their names.
     """
+    chosen_id, copies, own, whole = fresh(docs, "_chosen", "_rows", "_id", "_row")
     marked = near_duplicates(docs)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     firsts = marked.groupBy("component_id").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
     once = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     chosen = firsts.select(F.col("k.doc_id").alias("doc_id")).distinct()
     chosen = written(chosen.join(once, chosen["doc_id"].eqNullSafe(once["doc_id"])).select(
-        chosen["doc_id"].alias("_chosen"), F.col("rows").alias("_rows")))
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_chosen"]))
-    single = kept.where("_rows = 1").select(*[kept[c] for c in docs.columns])
+        chosen["doc_id"].alias(chosen_id), F.col("rows").alias(copies)))
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[chosen_id]))
+    single = kept.where(F.col(copies) == 1).select(*docs.columns)
     row = F.struct(*[F.col(c) for c in docs.columns])
-    several = kept.where("_rows > 1").select(*[kept[c] for c in docs.columns])
-    several = several.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*")
+    several = kept.where(F.col(copies) > 1).select(*docs.columns)
+    several = several.groupBy(F.col("doc_id").alias(own)).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(whole)).select(f"{whole}.*")
     return single.unionByName(several)

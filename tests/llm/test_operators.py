@@ -132,6 +132,19 @@ def test_near_copies_by_shingles(spark, docs, rows, none, hot):
         assert sorted_rows(staged.select("doc_id"), "doc_id") == sorted(((d,) for d in want), key=repr)
 
 
+def test_clashing_names(spark):
+    """Columns named like the operators' own pass through where rows are chosen, and are replaced where spans are added."""
+    names = ("_maybe", "_own", "_chosen", "_KEY", "_rows", "_row", "_id", "key", "n")
+    rows = [(1, PROSE), (2, PROSE), (2, PROSE), (3, "one two"), (None, "one two"), (4, None)]
+    table = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in names)) for r in rows], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in names)]))
+    want = sorted(tuple(r) for r in table.collect() if r["doc_id"] in (1, 3, 4))
+    for made in (shingles.deduplicated(table), simhash.deduplicated(table)):
+        assert made.columns == table.columns and sorted(tuple(r) for r in made.collect()) == want
+    found = secret_scan.secrets(table.select("doc_id", "text", F.lit("x").alias("_text"), F.lit("y").alias("_hex"), F.lit("z").alias("_tokens")))
+    assert sorted(found.columns) == sorted(["doc_id", "text", "_text", "_assign", "_access", "_hex", "_random"])
+    assert {r["_text"] for r in found.collect()} == {PROSE, "one two", ""}
+
+
 def test_sketches_keep_similar_pairs(spark):
     """No pair of sets with the similarity goes, at equal and at neighbouring widths; far pairs go."""
     seed = np.random.default_rng(5)
