@@ -172,28 +172,31 @@ def rolling_walk_forward(bars: DataFrame, windows: Sequence[int] = (5, 10, 15, 2
                          test: int = 63, cost: float = 0.001) -> DataFrame:
     """Per symbol and fold: the window with the best training Sharpe, scored on the next bars.
 
-    Slices come from running sums at their two ends, so folds overlap at no extra cost.
+    Slices come from running sums at their two ends, so folds overlap at no extra cost. Windows often hold the same
+    positions over a whole slice; the sums are decimals, without rounding, so that these windows have equal Sharpe ratios
+    and the shortest one is taken. Equal averages of prices are equal for the same reason: they are no crossing.
     """
+    price, kept = F.col("close").cast("decimal(28,10)"), "decimal(24,18)"
     df = bars.withColumn("rn", bar_number()).withColumn("n", F.count("*").over(
         Window.partitionBy("symbol"))).withColumn("r", F.coalesce(change("close"), F.lit(0.0)))
     w = Window.partitionBy("symbol").orderBy("date")
     for size in windows:
-        df = df.withColumn("_f", sma("close", size)).withColumn("_s", sma("close", size * 3))
+        df = df.withColumn("_f", sma(price, size)).withColumn("_s", sma(price, size * 3))
         signal = F.when(crossed("_f", "_s", True), 1.0).when(crossed("_f", "_s", False), 0.0)
         df = df.withColumn("_t", signal).withColumn("_h", held("_t", ["symbol"]))
         df = df.withColumn("_p", F.coalesce(F.lag("_h").over(w), F.lit(0.0)))
         moved = F.abs(F.col("_p") - F.coalesce(F.lag("_p").over(w), F.lit(0.0)))
         df = df.withColumn("_x", F.col("_p") * F.col("r") - moved * cost)
-        df = df.withColumn(f"s{size}", F.sum("_x").over(running())).withColumn(
-            f"q{size}", F.sum(F.col("_x") * F.col("_x")).over(running())).withColumn(
+        df = df.withColumn(f"s{size}", F.sum(F.col("_x").cast(kept)).over(running())).withColumn(
+            f"q{size}", F.sum((F.col("_x") * F.col("_x")).cast(kept)).over(running())).withColumn(
             f"g{size}", F.sum(F.ln(F.col("_x") + 1)).over(running()))
     slices = {}
     for size in windows:
         for name in ("s", "q", "g"):
             c = f"{name}{size}"
-            start = F.coalesce(F.lag(c, train).over(w), F.lit(0.0))
-            slices[f"a_{c}"] = F.col(c) - start
-            slices[f"b_{c}"] = F.lead(c, test).over(w) - F.col(c)
+            start = F.coalesce(F.lag(c, train).over(w), F.lit(0))
+            slices[f"a_{c}"] = (F.col(c) - start).cast("double")
+            slices[f"b_{c}"] = (F.lead(c, test).over(w) - F.col(c)).cast("double")
     df = df.select("symbol", "date", "rn", "n", F.lead("date", 1).over(w).alias("test_start"),
                    *[v.alias(k) for k, v in slices.items()])
     folds = df.filter((F.col("rn") >= train) & ((F.col("rn") - train) % test == 0)

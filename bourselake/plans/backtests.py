@@ -245,19 +245,21 @@ WF = (5, 10, 15, 20)
 def wf_sql():
     parts = []
     for s in WF:
-        parts.append(f"""SELECT {s} AS w, symbol, date, rn, n, r, {avg('close', s)} AS f, {avg('close', s * 3)} AS s FROM b""")
+        parts.append(f"""SELECT {s} AS w, symbol, date, rn, n, r, {avg('price', s)} AS f, {avg('price', s * 3)} AS s FROM b""")
+    # decimals: what is equal compares as equal, in whatever order an engine adds it up
     wb = "PARTITION BY w, symbol ORDER BY date"
     return f"""
-WITH b AS (SELECT symbol, date, close, COALESCE(close / {lag('close')} - 1, 0) AS r, ROW_NUMBER() OVER ({BY}) AS rn, COUNT(*) OVER (PARTITION BY symbol) AS n FROM bars),
+WITH b AS (SELECT symbol, date, CAST(close AS DECIMAL(28, 10)) AS price, COALESCE(close / {lag('close')} - 1, 0) AS r, ROW_NUMBER() OVER ({BY}) AS rn, COUNT(*) OVER (PARTITION BY symbol) AS n FROM bars),
 m AS ({' UNION ALL '.join(parts)}),
 t AS (SELECT *, CASE WHEN LAG(f) OVER ({wb}) <= LAG(s) OVER ({wb}) AND f > s THEN 1.0 WHEN LAG(f) OVER ({wb}) >= LAG(s) OVER ({wb}) AND f < s THEN 0.0 END AS t FROM m),
 h AS (SELECT *, COALESCE(LAST_VALUE(t IGNORE NULLS) OVER ({wb} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS h FROM t),
 p AS (SELECT *, COALESCE(LAG(h) OVER ({wb}), 0) AS p FROM h),
 x AS (SELECT *, p * r - ABS(p - COALESCE(LAG(p) OVER ({wb}), 0)) * 0.001 AS x FROM p),
-a AS (SELECT w, symbol, date, rn, n, LEAD(date) OVER ({wb}) AS test_start, AVG(x) OVER tr AS m1, STDDEV_SAMP(x) OVER tr AS s1, AVG(x) OVER te AS m2, STDDEV_SAMP(x) OVER te AS s2, SUM(LN(x + 1)) OVER te AS g FROM x
+a AS (SELECT w, symbol, date, rn, n, LEAD(date) OVER ({wb}) AS test_start, CAST(SUM(e) OVER tr AS DOUBLE) AS e1, CAST(SUM(q) OVER tr AS DOUBLE) AS q1, AVG(x) OVER te AS m2, STDDEV_SAMP(x) OVER te AS s2, SUM(LN(x + 1)) OVER te AS g FROM (SELECT *, CAST(x AS DECIMAL(24, 18)) AS e, CAST(x * x AS DECIMAL(24, 18)) AS q FROM x)
   WINDOW tr AS ({wb} ROWS BETWEEN 503 PRECEDING AND CURRENT ROW), te AS ({wb} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING)),
+v AS (SELECT *, e1 / 504 AS m1, SQRT(GREATEST((q1 - e1 * e1 / 504) / 503, 0)) AS s1 FROM a),
 f AS (SELECT symbol, test_start, w, CASE WHEN s1 > 1e-9 THEN m1 / s1 * SQRT(252) ELSE -999 END AS train_sharpe, CASE WHEN s2 > 1e-9 THEN m2 / s2 * SQRT(252) END AS test_sharpe, EXP(g) - 1 AS test_return
-  FROM a WHERE rn >= 504 AND (rn - 504) % 63 = 0 AND rn + 63 < n)
+  FROM v WHERE rn >= 504 AND (rn - 504) % 63 = 0 AND rn + 63 < n)
 SELECT symbol, test_start, CAST(w AS BIGINT) AS best_window, R4(train_sharpe) AS train_sharpe, R6(test_return) AS test_return, R4(test_sharpe) AS test_sharpe
   FROM f QUALIFY ROW_NUMBER() OVER (PARTITION BY symbol, test_start ORDER BY train_sharpe DESC, w) = 1"""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bourselake.functions import bands, interp
 from bourselake.operators import ideas, kalman, news as nw, pairs, postmortem, signals as sg, statistics as st, universe as uni
-from bourselake.operators.backtest import require_anchor
+from bourselake.operators.backtest import require_anchor, rolling_walk_forward
 from bourselake.operators.options import implied_vol, price_quotes
 from bourselake.operators.recurrence import ewm
 from bourselake.operators.scorecard import scorecard
@@ -368,3 +368,35 @@ def test_sliding_rank_with_ties_and_gaps(spark):
             last = [x[2] for x in mine[max(0, i - 8):i + 1]]
             want = None if len(last) < 9 or None in last else (sum(x < v for x in last) + sum(x <= v for x in last) + 1) / 2 / 9
             assert got[s, d] == want or abs(got[s, d] - want) < 1e-12
+
+
+def held_by(close, size, cost=0.001):
+    """Daily results of one window, bar by bar, on prices in whole cents."""
+    results, target, held, before = [0.0], 0.0, 0.0, 0.0
+    for i in range(1, len(close)):
+        before, held = held, target
+        results.append(held * (close[i] / close[i - 1] - 1) - abs(held - before) * cost)
+        if i >= 3 * size:
+            gap, last = [3 * sum(round(100 * c) for c in close[j - size + 1:j + 1]) - sum(round(100 * c) for c in close[j - 3 * size + 1:j + 1]) for j in (i, i - 1)]
+            target = 1.0 if last <= 0 < gap else 0.0 if last >= 0 > gap else target
+    return results
+
+
+def test_equal_windows_of_a_fold_leave_the_shortest(spark):
+    # trending prices: windows of 5 and 6 bars often hold the same positions over a whole training slice
+    rng, sizes, train, test = np.random.default_rng(8), (5, 6), 40, 10
+    close = {f"S{k}": [float(c) for c in np.round(100 * np.exp(np.cumsum(rng.normal(0.002, 0.004, 300))), 2)] for k in range(8)}
+    bars = spark.createDataFrame([(s, START + dt.timedelta(days=i), p) for s, c in close.items() for i, p in enumerate(c)], "symbol string, date date, close double")
+    got = {(r.symbol, (r.test_start - START).days): r.best_window for r in rolling_walk_forward(bars, sizes, train, test).collect()}
+    same = 0
+    for s, c in close.items():
+        results = {n: held_by(c, n) for n in sizes}
+        for at in range(train, len(c) - test, test):
+            slices = {n: x[at - train:at] for n, x in results.items()}
+            if slices[5] == slices[6]:
+                same += 1
+                assert got[s, at] == 5
+            else:
+                sharpe = {n: np.mean(x) / np.std(x, ddof=1) if np.std(x) > 1e-9 else -999 for n, x in slices.items()}
+                assert got[s, at] == max(sizes, key=lambda n: (sharpe[n], -n))
+    assert same >= 10
