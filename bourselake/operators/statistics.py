@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourselake.functions import safe_div
+from bourselake.session import sized
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float], rounds: int = 2, cells: int = 256) -> DataFrame:
@@ -16,30 +17,36 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float
     Every wanted rank has a bracket of values, at first all. A round takes `cells` splitters from the values inside the
     bracket, by a mergeable sketch, and keeps the three cells around the rank: far more than the sketch may err, and about
     the same number of rows whatever the values are. The values of the last brackets alone are put in order, each value
-    once with its count.
+    once with its count. Ranks with the same bracket share its sketch. Brackets are written, so that the planner sees
+    their size: rows meet them where they are, instead of being gathered in one task a group.
     """
-    x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    sizes = x.groupBy("g").agg(F.count("*").alias("n"))
+    x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g IS NOT NULL AND v IS NOT NULL")
+    sizes = sized(x.groupBy("g").agg(F.count("*").alias("n")))
     ranks = sizes.select("g", F.explode(F.array(*[F.struct(
         F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)])).alias("r"))
     ranks = ranks.select("g", "r.i", "r.at", F.explode(F.array(F.floor("r.at"), F.ceil("r.at"))).alias("k")).distinct()
-    brackets = ranks.select("g", "k").distinct().withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+
+    def bracketed(wanted: DataFrame) -> DataFrame:
+        return sized(wanted.groupBy("g", "lo", "hi").agg(F.array_sort(F.collect_set("k")).alias("ks")))
+
+    brackets = bracketed(ranks.select("g", "k", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
+    keys = ["g", "ks", "lo", "hi"]
     inside = F.col("v").between(F.col("lo"), F.col("hi"))
     grid = [c / cells for c in range(1, cells)]
     for _ in range(rounds):
-        seen = x.join(brackets, "g").groupBy("g", "k", "lo", "hi").agg(
+        seen = x.join(brackets, "g").groupBy(*keys).agg(
             F.count_if(F.col("v") < F.col("lo")).alias("before"), F.count_if(inside).alias("c"),
             F.percentile_approx(F.when(inside, F.col("v")), grid, 40 * cells).alias("s"))
+        seen = seen.withColumn("k", F.explode("ks"))
         cell = F.floor((F.col("k") - F.col("before")) * cells / F.col("c")).cast("int")
-        brackets = seen.select("g", "k", F.greatest("lo", F.coalesce(F.get("s", cell - 2), F.col("lo"))).alias("lo"),
-                               F.least("hi", F.coalesce(F.get("s", cell + 1), F.col("hi"))).alias("hi"))
-    near = x.join(brackets, "g")
-    before = near.groupBy("g", "k").agg(F.count_if(F.col("v") < F.col("lo")).alias("before"))
-    values = near.filter(inside).groupBy("g", "k", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("g", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("top", F.sum("c").over(w)).join(before, ["g", "k"])
-    place = F.col("k") - F.col("before")
-    hit = ranks.join(values.filter((place >= F.col("top") - F.col("c")) & (place < F.col("top"))), ["g", "k"], "left")
+        brackets = bracketed(seen.select("g", "k", F.greatest("lo", F.coalesce(F.get("s", cell - 2), F.col("lo"))).alias("lo"),
+                                         F.least("hi", F.coalesce(F.get("s", cell + 1), F.col("hi"))).alias("hi")))
+    # all that lies before a bracket is one row without a value, first in order
+    near = x.join(brackets, "g").filter(F.col("v") <= F.col("hi"))
+    values = near.groupBy(*keys, F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("top", F.sum("c").over(w)).withColumn("k", F.explode("ks"))
+    hit = ranks.join(values.filter((F.col("k") >= F.col("top") - F.col("c")) & (F.col("k") < F.col("top"))).drop("ks", "lo", "hi"), ["g", "k"], "left")
     # a rank outside its bracket would be an error of the sketch: fail rather than answer wrongly
     found = F.when(F.col("v").isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(F.col("v"))
     share = F.when(F.col("k") == F.floor("at"), F.lit(1.0) - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
@@ -55,7 +62,7 @@ def outliers(df: DataFrame, group: str, value: str, fence: float = 1.5, z_limit:
     q = q.withColumn("low", F.col("q_0") - (F.col("q_1") - F.col("q_0")) * fence).withColumn(
         "high", F.col("q_1") + (F.col("q_1") - F.col("q_0")) * fence)
     m = df.groupBy(group).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    both = df.join(q, group).join(m, group)
+    both = df.join(sized(q.join(m, group)), group)
     x = F.col(value)
     return both.groupBy(group).agg(
         F.count("*").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"),
@@ -67,7 +74,7 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """Homogeneity of variance about the group medians, and the ratio of extreme variances."""
     med = exact_quantiles(df, group, value, (0.5,)).select(group, F.col("q_0").alias("med"))
     z = F.abs(F.col(value) - F.col("med"))
-    per = df.join(med, group).groupBy(group).agg(
+    per = df.join(sized(med), group).groupBy(group).agg(
         F.count("*").alias("n"), F.avg(z).alias("zb"), F.var_pop(z).alias("vz"), F.var_samp(value).alias("v"))
     grand = per.agg((F.sum(F.col("n") * F.col("zb")) / F.sum("n"))).scalar()
     return per.withColumn("g", grand).agg(

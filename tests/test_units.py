@@ -54,6 +54,14 @@ def test_exact_quantiles_with_a_hot_group(spark):
         np.testing.assert_allclose(got[name], np.quantile(values, [0.25, 0.5, 0.9]))
 
 
+def test_few_groups_are_not_gathered_by_group(spark):
+    df = spark.range(60000).select(F.concat(F.lit("g"), F.col("id") % 3).alias("g"), F.sqrt("id").alias("v"))
+    for out in (st.outliers(df, "g", "v"), st.levene(df, "g", "v")):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_pair_moments_match_pandas(spark):
     df = series(spark, 80, 5, tuple("ABCDEFG")).filter(~((F.col("symbol") == "C") & (F.dayofmonth("date") % 3 == 0)))
     got = {(r.a, r.b): (r.n, r["corr"]) for r in pairs.with_correlation(pairs.pair_moments(df, "close", blocks=3)).collect()}
