@@ -14,6 +14,7 @@ from bourselake.operators.backtest import require_anchor, rolling_walk_forward
 from bourselake.operators.options import implied_vol, price_quotes
 from bourselake.operators.recurrence import ewm
 from bourselake.operators.scorecard import scorecard
+from bourselake.plans import registry
 from bourselake.sources import normalize as nz, readers
 from bourselake.streaming.bars import latest, manifest, upsert_latest
 
@@ -306,6 +307,15 @@ def test_absorption_equals_the_ordered_visit(spark, seed):
     assert {r.id: r.leader for r in ideas.absorbed(df).collect()} == first_fit(rows)
 
 
+def test_concept_ids_are_made_after_the_rows_are_folded(spark):
+    tickets = spark.range(1000).select(F.lit("h").alias("hypothesis_type"), F.element_at(F.array(F.lit("m 1"), F.lit("m-1")), (F.col("id") % 2 + 1).cast("int")).alias("mechanism_tag"),
+                                       F.lit("r").alias("regime"), F.concat(F.lit("S"), F.col("id") % 3).alias("symbol"))
+    members = ideas.concept_members(tickets, F.col("symbol"))
+    assert sorted(members.collect()) == [("edge_concept_h_m_1_r", "h", f"S{i}") for i in range(3)]
+    tree = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-zA-Z0-9]" in tree and "[^a-zA-Z0-9]" not in tree.split("Aggregate")[-1]
+
+
 def test_concepts_merge_by_containment(spark):
     tickets = spark.createDataFrame(
         [("h", "m1", "Up", "S1", "f1", 10.0, ["a", "b"])] * 5 + [("h", "m2", "Down", "S2", "research_only", 20.0, ["a", "B ", "c"])] * 9
@@ -408,3 +418,9 @@ def test_equal_windows_of_a_fold_leave_the_shortest(spark):
                 sharpe = {n: np.mean(x) / np.std(x, ddof=1) if np.std(x) > 1e-9 else -999 for n, x in slices.items()}
                 assert got[s, at] == max(sizes, key=lambda n: (sharpe[n], -n))
     assert same >= 10
+
+
+@pytest.mark.parametrize("key", ["graph_bfs", "graph_bfs_edges"])
+def test_relations_are_merged_once_for_all_levels(spark, key):
+    plan = registry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "l_extendedprice" not in plan
