@@ -103,9 +103,10 @@ def strongest(edges: DataFrame, breadth: int) -> DataFrame:
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, breadth: int = 5) -> DataFrame:
     """Breadth-first expansion: each level follows the first `breadth` edges per node.
 
-    `edges(src, dst, relation, strength, confidence)` is directed; the visited set is cut from its lineage per level.
+    `edges(src, dst, relation, strength, confidence)` is directed; what is followed is found once, and the visited set is
+    cut from its lineage per level.
     """
-    followed = strongest(edges, breadth).select("src", "dst")
+    followed = cut_lineage(strongest(edges, breadth).select("src", "dst"))
     visited = seeds.select("node", F.lit(0).alias("level"))
     frontier = visited
     for level in range(1, depth + 1):

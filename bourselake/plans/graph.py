@@ -8,6 +8,7 @@ from bourselake.functions import r4, r6
 from bourselake.operators import graph, relations as rel, sectors as sec
 from bourselake.plans.registry import query
 from bourselake.plans.views import add_view
+from bourselake.session import cut_lineage
 from bourselake.sources.market import Market
 
 add_view("node_ret", "ret sector_idx bench_index rates", """SELECT symbol AS node, date, ret_1d AS r FROM ret WHERE ret_1d IS NOT NULL
@@ -102,7 +103,7 @@ def seed(m: Market):
 
 @query("graph_bfs", "bfs_nodes", "SELECT node, level FROM bfs_nodes")
 def q_bfs(m):
-    return graph.expand(graph.incident(graph.merge_relations(relations(m))), seed(m), depth=3)
+    return graph.expand(graph.incident(cut_lineage(graph.merge_relations(relations(m)))), seed(m), depth=3)
 
 
 @query("graph_bfs_edges", "both_ways strongest bfs_nodes", """
@@ -110,7 +111,7 @@ WITH e AS (SELECT s.*, level FROM strongest s JOIN bfs_nodes ON node = src WHERE
   UNION ALL SELECT b.*, level FROM both_ways b JOIN bfs_nodes ON node = src WHERE level = 3)
 SELECT src, dst, relation, strength, CASE cr WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence, level FROM e""")
 def q_bfs_edges(m):
-    edges = graph.incident(graph.merge_relations(relations(m)))
+    edges = graph.incident(cut_lineage(graph.merge_relations(relations(m))))
     return graph.expanded_edges(edges, graph.expand(edges, seed(m), depth=3), depth=3)
 
 
