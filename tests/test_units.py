@@ -424,3 +424,11 @@ def test_equal_windows_of_a_fold_leave_the_shortest(spark):
 def test_relations_are_merged_once_for_all_levels(spark, key):
     plan = registry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "l_extendedprice" not in plan
+
+
+def test_merged_signals_are_sorted_without_a_function_per_comparison(spark):
+    rows = spark.createDataFrame([("b", "LONG", "l", True, -0.5, "x", "1", 0.5, "t", "h", ["A"])],
+                                 "batch string, direction string, leader string, is_primary boolean, s double, skill string, signal_ref string, raw_score double, title string, time_horizon string, tickers array<string>")
+    merged = sg.merge(rows.withColumn("ts", F.lit(None).cast("timestamp")))
+    assert merged.select("skill", "merged_from").collect() == [("x", [])]
+    assert "array_sort" not in merged._jdf.queryExecution().optimizedPlan().toString()
