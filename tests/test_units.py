@@ -104,6 +104,28 @@ def test_greedy_dedupe_equals_brute_force(spark, seed):
     assert got == brute_dedupe(rows)
 
 
+def test_similar_pairs_are_verified_where_they_meet(spark):
+    """All pairs once, with both titles, and no pair crosses the network: nothing but rows is exchanged."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "eta", "zeta"]
+    rows = {(int(rng.integers(2)), ["LONG", "SHORT"][rng.integers(2)], tuple(sorted({f"T{t}" for t in rng.integers(0, 9, rng.integers(0, 4))})),
+             " ".join(rng.choice(vocabulary, rng.integers(0, 5), replace=False))) for _ in range(120)}
+    df = spark.createDataFrame([(*r, 0.5, "s", "r") for r in rows], "batch int, direction string, tickers array<string>, title string, raw_score double, skill string, signal_ref string")
+
+    def jac(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    want = sorted((a[:2], *sorted([a[2:], b[2:]])) for a, b in itertools.combinations(rows, 2)
+                  if a[:2] == b[:2] and (jac(a[2], b[2]) >= 0.3 or jac(a[3].split(), b[3].split()) >= 0.6))
+    out = sg.similar_pairs(sg.signatures(df))
+    got = sorted(((r.batch, r.direction), *sorted([(tuple(r.tickers_a), r.title_a), (tuple(r.tickers_b), r.title_b)])) for r in out.collect())
+    assert got == want and len(want) > 100
+    near = sg.similar_sets(df, "tickers", 0.3)
+    sets = {(r[0], r[1], r[2]) for r in rows if r[2]}
+    assert near.count() == sum(a[:2] == b[:2] and jac(a[2], b[2]) >= 0.3 for a in sets for b in sets) == near.distinct().count()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate" not in plan[:plan.index("Join Inner")]
+
+
 def test_merged_signals_keep_what_contributes(spark):
     rows = [(1, "b", "r1", "LONG", ["A", "B"], "one two", 0.9, "20D"), (1, "a", "r2", "LONG", ["B"], "other words", 0.5, "9M"),
             (1, "a", "r3", "LONG", [], "one two", 0.7, "9M"), (1, "c", "r4", "SHORT", ["B"], "one two", 0.4, "20D"), (2, "b", "r1", "LONG", ["A"], "one two", 0.1, "20D")]
