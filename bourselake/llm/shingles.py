@@ -1,4 +1,7 @@
-"""Near copies by shingle similarity: prefix filter with positions, pivots for large groups, parity sketches, exact verification."""
+"""Near copies by shingle similarity: SimHash links, verified; then what fingerprints miss.
+
+The rest comes by a prefix filter with positions, pivots for large groups, parity sketches and exact verification.
+"""
 from __future__ import annotations
 
 import numpy as np
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from bourselake.llm.common import fresh, raw_texts, small_batches, text_of, written
-from bourselake.llm.simhash import LOWER, components
+from bourselake.llm.simhash import LOWER, components, fingerprint, links
 
 HOT = 64  # documents under one prefix shingle that are still paired without a pivot
 FLUSH = 1 << 18  # shingles a task gathers before it adds them to its counts, or hands rows on
@@ -39,6 +42,20 @@ def text_keys(texts: pa.Array) -> pa.Array:
     return pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
 
 
+def marker(size: int):
+    """Column function: text to its key (as `text_keys`) and the SimHash of its shingles."""
+    @F.arrow_udf("struct<key: bigint, fp: bigint>")
+    def marks(texts: pa.Array) -> pa.Array:
+        made = [(xxhash.xxh64_intdigest(b" ".join(words_of(t)), 42), fingerprint(t, size)) for t in raw_texts(texts)]
+        both = np.array(made, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "fp"])
+    return marks
+
+
+def marked_by(docs: DataFrame, size: int, *columns: str) -> DataFrame:
+    return docs.select(*columns, marker(size)(text_of("text")).alias("m")).select(*columns, "m.key", "m.fp")
+
+
 def flagged(keys: DataFrame, bits: int = 1 << 23):
     """Column function: text to whether its key may be among `keys`, by a bit table of fixed size; never false for one that is."""
     h = keys.select(F.pmod("key", F.lit(bits)).alias("h")).select(F.floor(F.col("h") / 64).cast("int").alias("w"), (F.col("h") % 64).cast("int").alias("b"))
@@ -233,14 +250,36 @@ def ordered(df: DataFrame, x: Column, y: Column) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def similar_links(docs: DataFrame, size: int = 5, percent: int = 80, most: int = 1 << 18, hot: int = HOT) -> DataFrame:
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text keys that SimHash brings together, from rows (key, fp): the components are those of all fingerprints within two bits.
+
+    The texts of one fingerprint are tied to the one with the smallest key, which stands for them in the links between fingerprints.
+    """
+    prints = written(marks.select("key", "fp").distinct())
+    firsts = written(prints.groupBy("fp").agg(F.min("key").alias("first")))
+    same = prints.join(firsts, "fp").where("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    left, right = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"key_{c}")) for c in "ab")
+    near = links(firsts.select("fp")).join(left, "a").join(right, "b")
+    return same.unionByName(ordered(near, F.col("key_a"), F.col("key_b"))).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not yet in one component of `roots` (node, root)."""
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    held = pairs.join(left, "a", "left").join(right, "b", "left")
+    return held.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def similar_links(docs: DataFrame, size: int = 5, percent: int = 80, most: int = 1 << 18, hot: int = HOT, marks: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of text keys whose components are those of all pairs of texts with Jaccard similarity `percent` / 100 or more.
 
-    Similar texts share a shingle of their prefixes, so pairs meet under one; those whose sketches allow it are verified on
-    whole sets. Under a shingle
-    with more than `hot` texts, all are compared with one pivot, the text with the fewest rarer shingles; then only pairs that
-    are not yet in one component are made, of which one is outside that of the pivot. None is left out.
+    First come the pairs that SimHash links, verified. Fingerprints miss similar texts, so pairs are then made from prefixes:
+    similar texts share a shingle of theirs, so they meet under one. Of these pairs, those not yet in one component whose
+    sketches allow it are verified on whole sets. Under a shingle with more than `hot` texts, all are compared with one pivot,
+    the text with the fewest rarer shingles; then only pairs that are not yet in one component are made, of which one is
+    outside that of the pivot. None is left out. `marks` are the rows (key, fp) of `marked_by`, if they are there already.
     """
+    near = written(fingerprint_pairs(marked_by(docs, size) if marks is None else marks))
     docs = docs.select(text_of("text").alias("text"))
     rows = docs.mapInArrow(prefixer(size, percent, common_shingles(docs, size, most)), "t long, key long, n int, pos int")
     rows = written(met(rows, percent, hot))
@@ -248,10 +287,12 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80, most: int =
     few = ordered(rows.select("key", F.explode("partners").alias("other")), F.col("key"), F.col("other"))
     to_pivot = many.where((F.col("key") != F.col("pivot.key")) & may_reach({"n": F.col("n"), "pos": F.col("pos")}, side("pivot"), percent))
     first = written(few.unionByName(ordered(to_pivot, F.col("key"), F.col("pivot.key"))).distinct())
-    named = written(first.select(F.explode(F.array("a", "b")).alias("key")).unionByName(many.select("key")).distinct())
+    ends = first.unionByName(near).select(F.explode(F.array("a", "b")).alias("key"))
+    named = written(ends.unionByName(many.select("key")).distinct())
     drawn = docs.where(flagged(named)(F.col("text"))).select(text_keys(F.col("text")).alias("key"), sketcher(size)(F.col("text")).alias("s"))
     sketches = written(drawn.join(named, "key", "left_semi").groupBy("key").agg(F.min("s").alias("s")).select("key", "s.*"))
-    edges = written(similar(docs, first, sketches, size, percent))
+    linked = written(similar(docs, near, sketches, size, percent))
+    edges = written(linked.unionByName(similar(docs, apart(first, components(linked)), sketches, size, percent)))
     if many.isEmpty():
         return edges
     roots = components(edges).withColumnRenamed("node", "key")
@@ -276,8 +317,8 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, **options) -
     """
     small_batches(docs.sparkSession)
     chosen_id, chosen_key, copies, own, likely, whole = fresh(docs, "_chosen", "_key", "_rows", "_own", "_maybe", "_row")
-    marked = written(docs.select("doc_id", text_keys(text_of("text")).alias("key")))
-    roots = written(similar_components(docs, size, percent, **options))
+    marked = written(marked_by(docs, size, "doc_id"))
+    roots = written(similar_components(docs, size, percent, marks=marked, **options))
     nodes = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k"))
     nodes = nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     firsts = nodes.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias(chosen_id), F.col("k.key").alias(chosen_key))

@@ -26,7 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) stays, that with the smallest id."""
+    """One document of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) stays, that with the smallest id.
+
+    SimHash links come first, as in op3, and are verified; pairs that fingerprints miss are found by their rarest shingles.
+    """
     ship(spark)
     return shingles.deduplicated(shaped(docs), size=5, percent=80)
 

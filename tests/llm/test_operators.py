@@ -132,6 +132,34 @@ def test_near_copies_by_shingles(spark, docs, rows, none, hot):
         assert sorted_rows(staged.select("doc_id"), "doc_id") == sorted(((d,) for d in want), key=repr)
 
 
+def test_near_dedup_takes_simhash_links_first(spark, monkeypatch):
+    """The stage links fingerprints; pairs already in one component are not compared again, and no false link stays."""
+    import corpus_pipeline
+    seed = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("a", "en", "ot", "ur", "is")]
+    texts = []
+    for _ in range(8):
+        base = seed.choices(vocabulary, k=400)
+        for i in range(6):
+            texts.append(" ".join([*base[:50 * i], *([f"new{i}"] if i else []), *base[50 * i:]]))
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0].upper(), "", " ", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select(
+        "doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    prints = [(d, brute.fingerprint(t)) for d, t in rows]
+    keys = {r.doc_id: r.key for r in shingles.marked_by(table, 3, "doc_id").collect()}
+    roots = {r.node: r.root for r in simhash.components(shingles.fingerprint_pairs(shingles.marked_by(table, 3))).collect()}
+    groups = {}
+    for d, c in zip(keys, brute.least_reachable(prints)):
+        groups.setdefault(c, set()).add(roots.get(keys[d], keys[d]))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+    called, compared = [], []
+    monkeypatch.setattr(shingles, "links", lambda p, keep=shingles.links: called.append(p.count()) or keep(p))
+    monkeypatch.setattr(shingles, "similar", lambda d, p, *a, keep=shingles.similar: compared.append({tuple(r) for r in p.collect()}) or keep(d, p, *a))
+    staged = dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "")
+    assert sorted(r.doc_id for r in staged.collect()) == sorted(brute.near_copies(rows))
+    assert called and compared[0] and not compared[0] & compared[1]
+
+
 def test_clashing_names(spark):
     """Columns named like the operators' own pass through where rows are chosen, and are replaced where spans are added."""
     names = ("_maybe", "_own", "_chosen", "_KEY", "_rows", "_row", "_id", "key", "n")
