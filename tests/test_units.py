@@ -126,6 +126,19 @@ def test_similar_pairs_are_verified_where_they_meet(spark):
     assert plan.count("Join Inner") == 1 and "Aggregate" not in plan[:plan.index("Join Inner")]
 
 
+def test_signals_of_one_signature_are_pairs(spark):
+    """The counts of all rows together are all similar pairs of signals, those with equal tickers and title included."""
+    def jac(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    kinds = [(1, "LONG", ("A",), "one two"), (1, "LONG", ("A", "B"), "three"), (1, "LONG", (), "four five"), (1, "SHORT", ("A",), "one two"), (1, "LONG", (), ""), (2, "LONG", ("C",), "six")]
+    rows = [k for k, n in zip(kinds, (4, 2, 3, 1, 2, 1)) for _ in range(n)]
+    df = spark.createDataFrame([(*r, 0.5, "s", f"r{i}") for i, r in enumerate(rows)], "batch int, direction string, tickers array<string>, title string, raw_score double, skill string, signal_ref string")
+    out = sg.similar_pairs(sg.signatures(df)).collect()
+    want = sum(a[:2] == b[:2] and (jac(a[2], b[2]) >= 0.3 or jac(a[3].split(), b[3].split()) >= 0.6) for a, b in itertools.combinations(rows, 2))
+    assert sum(r.n_pairs for r in out) == want == 6 + 1 + 3 + 8
+    assert sorted((r.title_a, r.n_pairs) for r in out if r.sig_a == r.sig_b) == [("four five", 3), ("one two", 6), ("three", 1)]
+
+
 def test_merged_signals_keep_what_contributes(spark):
     rows = [(1, "b", "r1", "LONG", ["A", "B"], "one two", 0.9, "20D"), (1, "a", "r2", "LONG", ["B"], "other words", 0.5, "9M"),
             (1, "a", "r3", "LONG", [], "one two", 0.7, "9M"), (1, "c", "r4", "SHORT", ["B"], "one two", 0.4, "20D"), (2, "b", "r1", "LONG", ["A"], "one two", 0.1, "20D")]
