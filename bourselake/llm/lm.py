@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import math
-from itertools import chain, product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from bourselake.llm.common import bucket5, text_of, written
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END, START = xxhash.xxh64_intdigest(b"", 1), xxhash.xxh64_intdigest(b"", 2)
-CHUNK = 1 << 21  # tokens held by a task before it passes its counts on
+CHUNK = 1 << 20  # tokens held by a task before it writes them
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,32 +51,33 @@ def batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(each), dtype=np.uint64, count=int(sizes.sum())), sizes
 
 
-def count_blobs(segments: int):
-    """Arrow map: text to rows (segment, hashes, counts, order) of counts summed within CHUNK tokens; a hash's high bits name its segment."""
-    def rows(hashes: np.ndarray, order: int):
-        keys, n = np.unique(hashes, return_counts=True)
-        cut = np.searchsorted(keys >> np.uint64(40), np.arange(segments + 1, dtype=np.uint64) * np.uint64((1 << 24) // segments))
-        cut[-1] = len(keys)
-        pick = [k for k in range(segments) if cut[k] < cut[k + 1]]
-        return pa.RecordBatch.from_pydict({
-            "segment": pa.array(pick, pa.int32()), "hashes": [keys[cut[k]:cut[k + 1]].tobytes() for k in pick],
-            "counts": [n[cut[k]:cut[k + 1]].astype("<u4").tobytes() for k in pick], "order": pa.array([order] * len(pick), pa.int32())})
+def narrow(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes as the largest needs, which the first byte says; the low bytes of all come first."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                hashes, sizes = batch_tokens(batch.column(0)[at:at + 256])
-                held.append((hashes, pairs_of(contexts(hashes, np.cumsum(sizes) - sizes), hashes)))
-                size += len(hashes)
-                if size >= CHUNK:
-                    yield rows(np.concatenate([h[0] for h in held]), 1)
-                    yield rows(np.concatenate([h[1] for h in held]), 2)
-                    held, size = [], 0
-        if held:
-            yield rows(np.concatenate([h[0] for h in held]), 1)
-            yield rows(np.concatenate([h[1] for h in held]), 2)
-    return run
+
+def wide(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :blob[0]] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes, one at least: the first, then the steps to the next."""
+    return hashes[:1].astype("<u8").tobytes() + narrow(np.diff(hashes))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(blob, "<u8", 1), wide(blob[8:])]), dtype=np.uint64)
+
+
+def cuts(keys: np.ndarray, segments: int) -> list[tuple[int, slice]]:
+    """The segments that sorted hashes touch, each with its part of them; a hash's high bits name its segment."""
+    cut = np.searchsorted(keys >> np.uint64(40), np.arange(segments + 1, dtype=np.uint64) * np.uint64((1 << 24) // segments))
+    cut[-1] = len(keys)
+    return [(k, slice(cut[k], cut[k + 1])) for k in range(segments) if cut[k] < cut[k + 1]]
 
 
 def level(counts: np.ndarray, base: float) -> np.ndarray:
@@ -93,6 +95,11 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return np.minimum((hashes >> np.uint64(40)) // np.uint64((1 << 24) // segments), np.uint64(segments - 1)).astype(np.int64)
 
 
+def expected(q: np.ndarray, base: float) -> np.ndarray:
+    """Expected counts: the middle of the quantised step."""
+    return np.where(q == 0, 0.0, np.where(q == 1, 1.0, (base ** (q - 1) + base ** q) / 2))
+
+
 class Filter:
     """Log-frequency Bloom filter in segments: an n-gram of quantised count q enters as (n-gram, 1) ... (n-gram, q)."""
 
@@ -129,183 +136,115 @@ class Filter:
                 j += 1
         return out
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Expected counts: the middle of the quantised step."""
-        q = self.levels(hashes)
-        return np.where(q == 0, 0.0, np.where(q == 1, 1.0, (self.base ** (q - 1) + self.base ** q) / 2))
-
-
-def train(texts: DataFrame, segments: int, base: float, probes: int, per_entry: float) -> DataFrame:
-    """One row per segment and order (1 words, 2 word pairs): entries, total, filter, and for words the exact counts.
-
-    Counts are summed over all texts: within tasks, then per segment of the hash space, so no key and no n-gram meets
-    more rows than there are task chunks.
-    """
-    def fold(table: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.frombuffer(b, "<u8") for b in table.column("hashes").to_pylist()])
-        n = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
-        by = np.argsort(hashes, kind="stable")
-        hashes, n = hashes[by], n[by]
-        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        keys, sums = hashes[first], np.add.reduceat(n, first)
-        order = table.column("order")[0].as_py()
-        words = order == 1
-        return pa.table({"order": pa.array([order], pa.int32()), "segment": table.column("segment")[:1].combine_chunks(), "entries": [len(keys)],
-                         "total": [int(sums.sum())], "filter": [Filter.build(keys, sums, base, probes, per_entry)],
-                         "hashes": pa.array([keys.tobytes() if words else b""]), "counts": pa.array([sums.astype("<i8").tobytes() if words else b""])})
-
-    blobs = texts.mapInArrow(count_blobs(segments), "segment int, hashes binary, counts binary, order int")
-    return written(blobs.groupBy("order", "segment").applyInArrow(
-        fold, "order int, segment int, entries long, total long, filter binary, hashes binary, counts binary"))
-
-
-def frequent(model: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of frequent words, at most about `limit`: a table of fixed size."""
-    share = max(1, limit // max(1, model.where("order = 1").count()))
-
-    def top(batches):
-        for batch in batches:
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                keys, n = np.frombuffer(h, "<u8"), np.frombuffer(c, "<i8")
-                pick = np.sort(np.argsort(-n, kind="stable")[:share])
-                yield pa.RecordBatch.from_pydict({"hashes": [keys[pick].tobytes()], "counts": [n[pick].tobytes()]})
-
-    rows = model.where("order = 1").select("hashes", "counts").mapInArrow(top, "hashes binary, counts binary").collect()
-    keys = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows] or [np.zeros(0, "<u8")])
-    n = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows] or [np.zeros(0, "<i8")])
-    by = np.argsort(keys)
-    return keys[by], n[by]
-
 
 def lm_scores(docs: DataFrame, segments: int | None = None, base: float = 1.5, probes: int = 4, per_entry: float = 9.0,
               prior: float = 200.0, filter_mb: int = 160, table_words: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs` (doc_id, text).
 
-    The base score uses exact word counts: frequent words from a broadcast table of at most `table_words`, the others by
-    a join on segments of the hash space. Words are told apart by 64-bit hashes. The model score is a word-pair model,
-    (c(u w) + prior p(w)) / (c(u) + prior), all counts from the filters by membership probes. Filters travel to the workers
-    in groups of segments of at most `filter_mb` together; if they are larger, each pair of groups scores the tokens it
-    knows in a pass of its own and the passes are summed. Null texts are empty and have the end token; repeated rows get
-    equal results; other columns are not read.
+    Words are told apart by 64-bit hashes. The base score uses exact word counts. The model score is a word-pair model,
+    (c(u w) + prior p(w)) / (c(u) + prior), all counts from the filters by membership probes. The texts are read once and
+    written as chunks of numbered words. The distinct words and pairs of each chunk meet in their segments of the hash space
+    with how often the chunk teaches them; a segment makes its filter of the sums, probes it for all that came, and the
+    levels return to the chunk. So the work follows the tokens and no filter travels: `filter_mb` and `table_words`, which
+    bounded what did, no longer matter. Null texts are empty and have the end token; repeated rows get equal results; other
+    columns are not read.
     """
-    spark = docs.sparkSession
-    segments = segments or max(64, 2 * docs.rdd.getNumPartitions())  # follows the input
-    docs = docs.select("doc_id", text_of("text").alias("text"))
-    model = train(docs.where(bucket5("doc_id") != 1).select("text"), segments, base, probes, per_entry)
-    sizes = model.select("order", "segment", "entries", "total", F.length("filter").alias("size")).collect()
-    n_all = sum(r["total"] for r in sizes if r["order"] == 1)
-    v_all = sum(r["entries"] for r in sizes if r["order"] == 1)
-    groups = {}
-    for order in (1, 2):
-        groups[order], room = [[]], 0
-        for r in sorted((r for r in sizes if r["order"] == order), key=lambda r: r["segment"]):
-            if room + r["size"] > filter_mb * 500_000 and groups[order][-1]:
-                groups[order].append([])
-                room = 0
-            groups[order][-1].append(r["segment"])
-            room += r["size"]
-    keys, counts = frequent(model, table_words)
-    held = spark.sparkContext.broadcast((keys, counts))
-    norm = n_all + 0.5 * (v_all + 1)
-
-    def load(order: int, some: list[int]):
-        rows = model.where((F.col("order") == order) & F.col("segment").isin(some)).select("segment", "filter").collect() if some else []
-        return {r["segment"]: np.frombuffer(r["filter"], np.uint8) for r in rows}
-
-    passes = list(product(groups[1], groups[1], groups[2]))  # groups of the word, of the word before and of the pair
-    found = None
-    for number, wanted in enumerate(passes):
-        sent = spark.sparkContext.broadcast((load(1, sorted({*wanted[0], *wanted[1]})), load(2, wanted[2])))
-        step = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
-            pass_over(sent, held if number == 0 else None, segments, base, probes, prior, norm, wanted if len(passes) > 1 else None),
-            "doc_id long, row long, key long, n_tokens long, n_known long, base_score double, score double, rare binary")
-        found = step if found is None else found.unionByName(step)
-    found = written(found)
-    if len(passes) > 1:  # the row number and the text's hash name a row in every pass over the same files
-        found = written(found.groupBy("doc_id", "row", "key").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum(
-            "base_score").alias("base_score"), F.sum("score").alias("score"), F.max("rare").alias("rare")))
-    return finish(found, model, segments, norm, n_all)
-
-
-def pass_over(sent, held, segments: int, base: float, probes: int, prior: float, norm: float, wanted):
-    """Arrow map: documents to their sums over the tokens whose counts this pass can look up."""
+    texts = docs.select("doc_id", text_of("text").alias("text"), (bucket5("doc_id") != 1).alias("learn"))
+    chunks = written(texts.mapInArrow(chunked, "chunk long, n long, ids array<long>, learn binary, sizes binary, kinds binary, tokens binary"))
+    if segments is None:  # about a million tokens each, so that one fits in a task at any size of the input
+        segments = max(64, (chunks.agg(F.sum("n")).first()[0] or 0) >> 20)
+    parts = chunks.drop("n", "ids").mapInArrow(questions(segments), "chunk long, order int, segment int, hashes binary, counts binary")
+    levels = written(parts.groupBy("order", "segment").applyInArrow(
+        answers(segments, base, probes, per_entry), "chunk long, order int, segment int, levels binary, counts binary, entries long, total long"))
+    sizes = {r["order"]: r for r in levels.groupBy("order").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).collect()}
+    n_all, v_all = (sizes[1]["total"], sizes[1]["entries"]) if sizes else (0, 0)
+    found = chunks.drop("n", "learn").groupBy("chunk").cogroup(levels.drop("entries", "total").groupBy("chunk")).applyInArrow(
+        scored(base, prior, n_all + 0.5 * (v_all + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", (bucket5("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def chunked(batches):
+    """Arrow map: documents to chunks of about CHUNK tokens: ids, who teaches, tokens per text, distinct words, the tokens as their numbers."""
+    def row():
+        kinds, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array([(task << 32) + number], pa.int64()), "n": pa.array([size], pa.int64()),
+            "ids": pa.array([[d for h in held for d in h[2]]], pa.list_(pa.int64())), "learn": [narrow(np.concatenate([h[3] for h in held]))],
+            "sizes": [narrow(np.concatenate([h[1] for h in held]))], "kinds": [packed(kinds)], "tokens": [narrow(back)]})
+
+    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            held.append((*batch_tokens(part.column("text")), part.column("doc_id").to_pylist(), part.column("learn").to_numpy(zero_copy_only=False)))
+            size += len(held[-1][0])
+            if size >= CHUNK:
+                yield row()
+                number, held, size = number + 1, [], 0
+    if size:
+        yield row()
+
+
+def words_and_pairs(sizes: bytes, kinds: bytes, tokens: bytes) -> tuple[np.ndarray, ...]:
+    """Of a chunk: tokens per text, its distinct words, each token's word, the distinct pairs, each token's pair."""
+    sizes, kinds, back = wide(sizes).astype(np.int64), unpacked(kinds), wide(tokens).astype(np.int64)
+    hashes = kinds[back]
+    return sizes, kinds, back, *np.unique(pairs_of(contexts(hashes, np.cumsum(sizes) - sizes), hashes), return_inverse=True)
+
+
+def questions(segments: int):
+    """Arrow map: chunks to their distinct words and pairs by segment, with their counts in texts that teach."""
     def run(batches):
-        one, two = (Filter(p, segments, base, probes) for p in sent.value)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                hashes, sizes = batch_tokens(part.column("text"))
-                firsts = np.cumsum(sizes) - sizes
-                before = contexts(hashes, firsts)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                kinds, back = np.unique(hashes, return_inverse=True)
-                c = one.counts(kinds)
-                of_context = np.roll(c[back], 1)  # before the first token of a text stands the end of another: as many start as end
-                both = pairs_of(before, hashes)
-                twos, where = np.unique(both, return_inverse=True)
-                joint = np.minimum(two.counts(twos)[where], np.maximum(of_context, 0.0))
-                p = (joint + prior * (c[back] + 0.5) / norm) / (of_context + prior)
-                logs = np.log10(np.minimum(p, 1.0))
-                if wanted is not None:
-                    logs *= among(wanted[0], hashes, segments) & among(wanted[1], np.roll(hashes, 1), segments) & among(wanted[2], both, segments)
-                score = np.bincount(owner, logs, len(sizes))
-                out = {"doc_id": part.column("doc_id"), "row": part.column("row"),
-                       "key": [xxhash.xxh64_intdigest(t) >> 1 for t in part.column("text").cast(pa.binary()).to_pylist()]}
-                if held is None:
-                    n = len(sizes)
-                    out |= {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": score, "rare": [b""] * n}
-                else:
-                    keys, counts = held.value
-                    spot = np.minimum(np.searchsorted(keys, kinds), max(0, len(keys) - 1))
-                    there = keys[spot] == kinds if len(keys) else np.zeros(len(kinds), bool)
-                    exact = np.where(there, counts[spot], 0) if len(keys) else np.zeros(len(kinds))
-                    sure = there[back]
-                    basis = np.where(sure, np.log10((exact[back] + 0.5) / norm), 0.0)
-                    out |= {"n_tokens": sizes, "n_known": np.bincount(owner, sure, len(sizes)).astype(np.int64),
-                            "base_score": np.bincount(owner, basis, len(sizes)), "score": score,
-                            "rare": [hashes[a:a + s][~sure[a:a + s]].tobytes() for a, s in zip(firsts, sizes)]}
-                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
+            for at in range(len(batch)):
+                chunk, learn, *coded = [batch.column(c)[at].as_py() for c in ("chunk", "learn", "sizes", "kinds", "tokens")]
+                sizes, *both = words_and_pairs(*coded)
+                taught = np.repeat(wide(learn) > 0, sizes)
+                for order, (keys, where) in ((1, both[:2]), (2, both[2:])):
+                    n = np.bincount(where[taught], minlength=len(keys))
+                    parts = cuts(keys, segments)
+                    yield pa.RecordBatch.from_pydict({
+                        "chunk": pa.array([chunk] * len(parts), pa.int64()), "order": pa.array([order] * len(parts), pa.int32()),
+                        "segment": pa.array([k for k, _ in parts], pa.int32()), "hashes": [packed(keys[p]) for _, p in parts],
+                        "counts": [narrow(n[p]) for _, p in parts]})
     return run
 
 
-def among(some: list[int], hashes: np.ndarray, segments: int) -> np.ndarray:
-    return np.isin(segment_of(hashes, segments), some)
+def answers(segments: int, base: float, probes: int, per_entry: float):
+    """Group map: a segment's filter from the counts of all chunks; levels of what each chunk asked, and exact counts of words.
+
+    The entries and the total of the segment stand in its first row.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        order, segment = table.column("order")[0].as_py(), table.column("segment")[0].as_py()
+        blobs = [unpacked(b) for b in table.column("hashes").to_pylist()]
+        ends = np.cumsum([len(b) for b in blobs])[:-1]
+        keys, back = np.unique(np.concatenate(blobs), return_inverse=True)
+        n = np.bincount(back, np.concatenate([wide(b) for b in table.column("counts").to_pylist()]), len(keys)).astype(np.int64)
+        blob = Filter.build(keys[n > 0], n[n > 0], base, probes, per_entry)
+        q = Filter({segment: np.frombuffer(blob, np.uint8)}, segments, base, probes).levels(keys)
+        rest = [0] * len(ends)
+        return pa.table({
+            **{c: table.column(c) for c in ("chunk", "order", "segment")}, "levels": [narrow(p) for p in np.split(q[back], ends)],
+            "counts": pa.array([narrow(p) for p in np.split(n[back], ends)] if order == 1 else [None] * len(blobs), pa.binary()),
+            "entries": [int((n > 0).sum()), *rest], "total": [int(n.sum()), *rest]})
+    return run
 
 
-def finish(found: DataFrame, model: DataFrame, segments: int, norm: float, n_all: int) -> DataFrame:
-    """Adds the words outside the frequent table: their hashes meet the exact counts segment by segment."""
-    def split(batches):
-        for batch in batches:
-            keys, sizes = [], []
-            for blob in batch.column("rare").to_pylist():
-                h = np.frombuffer(blob, "<u8")
-                keys.append(h)
-                sizes.append(len(h))
-            hashes = np.concatenate(keys) if keys else np.zeros(0, "<u8")
-            rows = np.repeat(batch.column("id").to_numpy(), sizes)
-            own = segment_of(hashes, segments)
-            for s in np.unique(own):
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([int(s)], pa.int32()), "rows": [rows[own == s].tobytes()],
-                                                  "hashes": [hashes[own == s].tobytes()]})
-
-    def look(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.frombuffer(right.column("hashes")[0].as_py(), "<u8") if len(right) else np.zeros(0, "<u8")
-        n = np.frombuffer(right.column("counts")[0].as_py(), "<i8") if len(right) else np.zeros(0, "<i8")
-        rows = np.concatenate([np.frombuffer(b, "<i8") for b in left.column("rows").to_pylist()] or [np.zeros(0, "<i8")])
-        hashes = np.concatenate([np.frombuffer(b, "<u8") for b in left.column("hashes").to_pylist()] or [np.zeros(0, "<u8")])
-        c = np.zeros(len(hashes))
-        if len(known):
-            spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            c = np.where(known[spot] == hashes, n[spot], 0).astype(float)
-        ids, back = np.unique(rows, return_inverse=True)
-        return pa.table({"id": ids, "known": np.bincount(back, c > 0, len(ids)).astype(np.int64),
-                         "more": np.bincount(back, np.log10((c + 0.5) / norm), len(ids))})
-
-    found = written(found.withColumn("id", F.monotonically_increasing_id()))
-    rare = found.where(F.length("rare") > 0).select("id", "rare").mapInArrow(split, "segment int, rows binary, hashes binary")
-    exact = model.where("order = 1").select("segment", "hashes", "counts")
-    parts = rare.groupBy("segment").cogroup(exact.groupBy("segment")).applyInArrow(look, "id long, known long, more double")
-    extra = parts.groupBy("id").agg(F.sum("known").alias("known"), F.sum("more").alias("more"))
-    return found.join(extra, "id", "left").select(
-        "doc_id", (bucket5("doc_id") == 1).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+def scored(base: float, prior: float, norm: float):
+    """Cogroup map: a chunk and the answers of all segments to the sums of its documents."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sizes, _, back, _, where = words_and_pairs(*[left.column(c)[0].as_py() for c in ("sizes", "kinds", "tokens")])
+        right = right.sort_by([("order", "ascending"), ("segment", "ascending")])
+        order = right.column("order").to_numpy()
+        levels = [wide(b).astype(np.int64) for b in right.column("levels").to_pylist()]
+        ones, twos = (np.concatenate([v for v, o in zip(levels, order) if o == k]) for k in (1, 2))
+        exact = np.concatenate([wide(b) for b, o in zip(right.column("counts").to_pylist(), order) if o == 1]).astype(float)
+        c = expected(ones, base)[back]
+        of_context = np.roll(c, 1)  # before the first token of a text stands the end of another: as many start as end
+        joint = np.minimum(expected(twos, base)[where], np.maximum(of_context, 0.0))
+        logs = np.log10(np.minimum((joint + prior * (c + 0.5) / norm) / (of_context + prior), 1.0))
+        owner, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        return pa.table({"doc_id": left.column("ids").combine_chunks().flatten(), "n_tokens": sizes, "n_known": np.bincount(owner, (exact > 0)[back], n).astype(np.int64),
+                         "base_score": np.bincount(owner, np.log10((exact + 0.5) / norm)[back], n), "score": np.bincount(owner, logs, n)})
+    return run

@@ -205,6 +205,28 @@ def test_lm_in_several_passes(docs):
     assert one == many
 
 
+def test_lm_reads_texts_once(spark, docs, rows):
+    """However small the part of the filters that may travel: no pass per group of filters."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    counted = docs.select("doc_id", F.udf(seen, "string")("text").alias("text"))
+    lm.lm_scores(counted, segments=64, filter_mb=0.001).collect()
+    assert read.value == len(rows)
+
+
+def test_lm_numbers_in_few_bytes():
+    import numpy as np
+    for top in (0, 255, 256, (1 << 48) - 1, (1 << 64) - 1):
+        numbers = np.array([3, top, 0], dtype=np.uint64)
+        assert (lm.wide(lm.narrow(numbers)) == numbers).all() and len(lm.narrow(numbers)) == 1 + 3 * max(1, (top.bit_length() + 7) // 8)
+        keys = np.unique(numbers)
+        assert (lm.unpacked(lm.packed(keys)) == keys).all() and (lm.unpacked(lm.packed(keys[:1])) == keys[:1]).all()
+    assert len(lm.wide(lm.narrow(np.zeros(0, np.uint64)))) == 0
+
+
 def test_filter_levels():
     import numpy as np
     keys = lm.mixed(np.arange(1, 4001, dtype=np.uint64))
